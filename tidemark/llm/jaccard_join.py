@@ -6,12 +6,7 @@
 2. ``bands`` picks rows and bands for a target recall at the threshold. A class's band hashes are
    shuffled; a band value shared by two classes or more is a bucket. Buckets of exactly the same
    classes count once.
-3. The gram sets of the classes in buckets are dealt out by bucket. A bucket of more than ``tile``
-   classes is split into pairs of tiles, each a group of its own, so no task gets a whole hot
-   bucket. A pair of classes is counted in the first bucket that both have, so nothing is counted
-   twice, and what leaves a group is one row per class (its links, and the least class it hangs
-   together with), not one per pair.
-4. Links are summed per class; components come from ``common.connected_components``.
+3. The gram sets of the classes in buckets are dealt out and compared as told in ``buckets``.
 
 Defined results: null and empty texts, and texts without words, link with nothing and are their
 own component; their class is null. Equal texts, and different texts of one set, are in one class
@@ -29,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytesoup
-from tidemark.llm.common import connected_components, cut
+from tidemark.llm import buckets, bytesoup
+from tidemark.llm.common import cut
 
 _SEED = np.random.Generator(np.random.PCG64(77))
 _MUL = _SEED.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +58,7 @@ def unique_grams(grams: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.n
 def _signer(n: int, rows: int, count: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = bytesoup.buffers(batch.column(1))
+            data, offs = bytesoup.buffers(batch.column("text"))
             for lo, hi in bytesoup.chunks(offs):
                 part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 starts, ends, first = bytesoup.word_spans(part, at)
@@ -84,15 +79,15 @@ def _signer(n: int, rows: int, count: int):
                     for i, k in enumerate(full):
                         keys[k], hashes[k] = h[i].tobytes(), band[i]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(np.diff(edge)), pa.array(hashes, pa.list_(pa.int64()))],
-                    ["doc_id", "cls", "n_grams", "bands"],
+                    [*(batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "th")), pa.array(keys, pa.binary()), pa.array(np.diff(edge)), pa.array(hashes, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "cls", "n_grams", "bands"],
                 )
 
     return sign
 
 
 def _setter(n: int):
-    """Rows of cls, buckets, tiles and text to rows of group, cls, docs, side, earlier buckets and gram set."""
+    """Rows of cls, n_rows, buckets and text to the same with the gram set in place of the text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +98,8 @@ def _setter(n: int):
                 grams, begin = bytesoup.grams(bytesoup.word_hashes(part, starts, ends), first, n)
                 values, edge = unique_grams(grams, begin)
                 column = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values.view(np.int64)))
-                rest = [batch.column(name).slice(lo, hi - lo) for name in ("cls", "n_docs", "buckets")]
-                yield pa.RecordBatch.from_arrays([*rest, column], ["cls", "n_docs", "buckets", "grams"])
+                rest = [batch.column(name).slice(lo, hi - lo) for name in ("cls", "n_rows", "buckets")]
+                yield pa.RecordBatch.from_arrays([*rest, column], ["cls", "n_rows", "buckets", "payload"])
 
     return sets
 
@@ -132,72 +127,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(keys: list[bytes], docs: np.ndarray, sides: np.ndarray, buckets: list[np.ndarray], bucket: int, sets: list[np.ndarray], threshold: float):
-    """Links of one group; sides: the tile (0 or 1) of each class, only pairs across count when both occur."""
-    sizes = np.array([len(s) for s in sets], np.float64)
-    both = shared_counts(sets)
-    near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-    np.fill_diagonal(near, False)
-    if sides.min() != sides.max():
-        near &= sides[:, None] != sides[None, :]
-    if not near.any():
-        return
-    earlier = sorted({int(x) for b in buckets for x in b if x < bucket})
-    count = near
-    if earlier:
-        place = {x: i for i, x in enumerate(earlier)}
-        table = np.zeros((len(keys), len(earlier)), np.float32)
-        for i, b in enumerate(buckets):
-            table[i, [place[int(x)] for x in b if x < bucket]] = 1
-        count = near & ~((table @ table.T) > 0)
-    links = count @ docs
-    rank = np.argsort(np.argsort(np.array(keys, object)))
-    root = rank.copy()
-    while True:
-        new = np.minimum(root, np.where(near, root[None, :], len(keys)).min(1))
-        if (new == root).all():
-            break
-        root = new
-    by_rank = np.argsort(rank)
-    for i in np.flatnonzero(near.any(1)):
-        yield keys[i], int(links[i]), keys[by_rank[root[i]]]
-
-
-def _verifier(threshold: float):
-    """Groups come whole and one after another; a group may go over several batches."""
-    names = ["g", "bucket", "side", "cls", "n_docs", "buckets", "grams"]
-
-    def done(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) > 1:
-            yield from _verify([r[3] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[2] for r in rows]), [r[5] for r in rows], rows[0][1], [r[6] for r in rows], threshold)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, out = [], []
-
-        def flush():
-            done_rows, out[:] = list(zip(*out, strict=True)), []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(done_rows, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["cls", "links", "root"])
-
-        for batch in batches:
-            cols = [batch.column(x) for x in names]
-            flat = [cols[0].to_pylist(), cols[1].to_pylist(), cols[2].to_pylist(), cols[3].to_pylist(), cols[4].to_pylist()]
-            lists = []
-            for c, kind in ((cols[5], np.int64), (cols[6], np.uint64)):
-                edge = c.offsets.to_numpy()
-                values = c.values.to_numpy(zero_copy_only=False).view(kind)
-                lists.append([values[edge[i] : edge[i + 1]].copy() for i in range(len(c))])
-            for row in zip(*flat, *lists, strict=True):
-                if rows and rows[0][0] != row[0]:
-                    out += done(rows)
-                    rows = []
-                rows.append(row)
-            if len(out) > 2000:
-                yield flush()
-        out += done(rows)
-        if out:
-            yield flush()
+def _near(threshold: float):
+    def near(sets: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(s) for s in sets], np.float64)
+        both = shared_counts(sets)
+        return both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
 
-    return verify
+    return near
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, tile: int = 256) -> DataFrame:
@@ -209,52 +145,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     (of repeated rows with that id, all).
     """
     rows, count = bands(threshold, recall)
-    docs = docs.select("doc_id", "text")
-    signed = cut(docs.mapInArrow(_signer(n, rows, count), "doc_id bigint, cls binary, n_grams bigint, bands array<bigint>"))
-    classes = cut(
-        signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"))
-    )
-    member = classes.select("cls", F.explode("bands").alias("band"))
-    sums = member.groupBy("band").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")
-    )
-    buckets = sums.where("size > 1").groupBy("size", "x", "y").agg(F.min("band").alias("band"))
-    parts = F.ceil(F.col("size") / tile).cast("int")
-    joined = cut(member.join(buckets.select("band", parts.alias("tiles")), "band").select("cls", "band", "tiles"))
-    own = joined.groupBy("cls").agg(F.sort_array(F.collect_set("band")).alias("buckets"))
-    own = classes.select("cls", "n_docs", "class_id").join(own, "cls")
-    # one text for each class in a bucket: that of its least id
-    texts = signed.where("cls is not null").select("cls", F.col("doc_id").alias("class_id"))
-    texts = texts.join(own, ["cls", "class_id"], "left_semi").distinct()
-    chosen = docs.withColumnRenamed("doc_id", "class_id").join(texts.join(own.drop("class_id"), "cls"), "class_id")
-    w = chosen.select("cls", "n_docs", "buckets", "text").mapInArrow(_setter(n), "cls binary, n_docs bigint, buckets array<bigint>, grams array<bigint>")
-    sets = w.where(F.size("grams") > 0)
-    # each class goes to all pairs of tiles of its buckets that its own tile is in
-    mine = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("tiles")).cast("int")
-    place = joined.withColumn("mine", mine).select(
-        "cls", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    )
-    place = place.select(
-        "cls",
-        F.col("band").alias("bucket"),
-        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
-        F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"),
-    )
-    dealt = place.join(sets, "cls").repartition(F.col("g")).sortWithinPartitions("g", "bucket", "cls")
-    found = cut(dealt.select("g", "bucket", "side", "cls", "n_docs", "buckets", "grams").mapInArrow(_verifier(threshold), "cls binary, links bigint, root binary"))
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select("cls", "root"), "cls", "root")
-    labelled = classes.select("cls", "class_id", "n_docs").join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "cls"))
-    least = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labelled = labelled.join(least, "root").select("cls", "class_id", "component_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "cls", "n_grams").join(labelled, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id",
-        "class_id",
-        "n_grams",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        (F.col("cls").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-    )
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    signed = cut(docs.mapInArrow(_signer(n, rows, count), "doc_id bigint, th bigint, cls binary, n_grams bigint, bands array<bigint>"))
+    classes = signed.where("cls is not null").groupBy("cls")
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    classes = cut(classes.agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), first, F.first("bands").alias("bands")))
+    placed = buckets.shared(classes, "bands", tile)
+    # one text for each class in a bucket: that of its first row
+    own = classes.select("cls", "n_rows", "first.*").join(buckets.buckets_of(placed), "cls").alias("c")
+    texts = docs.alias("d").join(own, F.expr("d.doc_id <=> c.doc_id and d.th = c.th")).select("cls", "n_rows", "buckets", "text")
+    sets = texts.mapInArrow(_setter(n), "cls binary, n_rows bigint, buckets array<bigint>, payload array<bigint>")
+    found = buckets.linked(classes, placed, sets, _near(threshold), np.uint64)
+    return buckets.per_row(signed.select("doc_id", "cls", "n_grams"), classes, found, "doc_id").drop("cls")
