@@ -36,14 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lowered(text):
-    """A-Z to lower case, everything else as it is (lower() would also touch other alphabets)."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def words_of(text):
-    """Array of the words of a text; null gives an empty array."""
-    return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Array of the words of a text; null gives an empty array.
+
+    Only A-Z go to lower case: lower() does that for ASCII texts; in others, it would touch more
+    alphabets, so words that it changes go letter by letter. Single characters instead of ranges
+    let Java's regular expressions use a table.
+    """
+    ascii_words = F.regexp_extract_all(F.lower(text), F.lit(f"[0123456789{LOWER}]+"), F.lit(0))
+    any_words = F.regexp_extract_all(text, F.lit(f"[0123456789{LOWER}{UPPER}\\x{{80}}-\\x{{10FFFF}}]+"), F.lit(0))
+    low = F.transform(any_words, lambda w: F.when(F.lower(w) == w, w).otherwise(F.translate(w, UPPER, LOWER)))
+    words = F.when(F.octet_length(text) == F.char_length(text), ascii_words).otherwise(low)
+    return F.coalesce(words, F.array().cast("array<string>"))
 
 
 def word_count(text):

@@ -1,17 +1,21 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-A fingerprint is the least hash of `k` consecutive words among the k-grams of a window of `n`
-words (n - k + 1 k-grams), so any span of n words or more that a document shares with the
-benchmark has equal fingerprints on both sides: none is missed. Fingerprints of documents and
-benchmark are joined, and each hit is extended to its whole window by comparing a hash of all its
-words beside the fingerprint (128 bits together). Overlapping windows merge into spans.
-
-An item of fewer than n words is one window of all its words, whose fingerprint is the pair of
-hashes of all its words and of its ends; documents are looked up at those lengths only if the
-benchmark has them.
-
-The benchmark side is broadcast while it has at most `broadcast_rows` windows (about 100 bytes
-each); beyond that Spark joins by shuffling both sides on the fingerprint.
+1. The fingerprint of a window of `n` words is the least hash of the k-grams in it (n - k + 1 of
+   them), so any span of n words or more that a document shares with the benchmark has equal
+   fingerprints on both sides: none is missed. Windows that follow each other mostly share their
+   fingerprint, so a document has far fewer fingerprints than words; these, each once, are
+   joined with the benchmark's. In the same scan words are counted.
+2. In the documents with a common fingerprint, hits are extended: each window is compared as a
+   whole, by its fingerprint and a hash of all its words (128 bits together). Windows that overlap
+   merge into spans.
+
+An item of fewer than n words, but not none, is one window of all its words, with the hash of all
+its words as its fingerprint and that of its ends beside it; documents are looked up at those
+lengths only if the benchmark has them.
+
+What is joined to the documents (the benchmark's fingerprints and windows; the ids of documents
+with a common fingerprint) is broadcast only after its rows were counted, up to `broadcast_rows`;
+beyond that Spark joins by shuffling both sides.
 
 Defined results: null and empty texts have no words, no hits, and are not contaminated. Repeated
 document rows each give a row; null ids are kept. Items without words are ignored; repeated items
@@ -26,10 +30,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, words_of
 
-#: Words including A-Z: as many as words_of() finds.
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
 def _let(value: Column, f) -> Column:
     """f(value), with the value evaluated once: the optimizer can't inline what a lambda binds."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -91,25 +91,38 @@ def fingerprints(df: DataFrame, keep: list[str], text: str, n: int, k: int, shor
     return rows.select(*keep, "pos", "w.*")
 
 
-def item_windows(benchmark: DataFrame, n: int, k: int, short: list[int]) -> DataFrame:
-    return fingerprints(benchmark, ["item_id"], "text", n, k, short, True).select("item_id", "length", "a", "b").distinct()
+def _winnowed(hashes: Column, n: int, k: int, short: list[int]) -> Column:
+    """The fingerprints, each once, of all windows of n words and all runs of the lengths in short."""
+    found = _spread(hashes, k, _pair, lambda g: _spread(g, n - k + 1, _least, F.array_distinct))
+    return F.concat(found, *[_spread(hashes, m, _pair, F.array_distinct) for m in short])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, pos, length) of every window of a document that occurs in an item, and (doc_id, th, item_id).
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, th, n_words) per document row; (doc_id, th, pos, length) of windows that occur in items; (doc_id, th, item_id).
 
     th tells rows of one id apart: the hash of the text. pos counts words from 0.
     """
     sizes = benchmark.select(F.size(words_of(F.col("text"))).alias("n")).where(F.col("n").between(1, n - 1)).distinct()
     short = sorted(r["n"] for r in sizes.collect())  # n - 1 lengths at most
-    items = cut(item_windows(benchmark, n, k, short))
-    known = items.select("length", "a", "b").distinct()
-    if items.count() <= broadcast_rows:
-        known = F.broadcast(known)
-    found = fingerprints(docs.withColumn("th", F.xxhash64("text")), ["doc_id", "th"], "text", n, k, short, False)
-    found = cut(found.join(known, ["length", "a", "b"]))
+    items = cut(fingerprints(benchmark, ["item_id"], "text", n, k, short, True).select("item_id", "length", "a", "b").distinct())
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    # a null before the fingerprints: the row that stands for the document itself
+    none = F.array(F.lit(None).cast("long"))
+    scan = docs.select("doc_id", "th", _let(hashed, lambda h: F.struct(F.size(h).cast("long").alias("n"), F.concat(none, _winnowed(h, n, k, short)).alias("f"))).alias("s"))
+    scan = scan.select("doc_id", "th", F.col("s.n").alias("n_words"), F.explode("s.f").alias("a"))
+    known = _small(cut(items.select("a", F.lit(True).alias("known")).distinct()), broadcast_rows)
+    scan = cut(scan.join(known, "a", "left").where("a is null or known").select("doc_id", "th", "n_words", F.col("a").isNull().alias("row")))
+    candidates = _small(cut(scan.where("not row").select("doc_id", "th").distinct()), broadcast_rows).alias("c")
+    chosen = docs.alias("d").join(candidates, F.expr("d.doc_id <=> c.doc_id and d.th = c.th"), "left_semi")
+    known = _small(cut(items.select("length", "a", "b").distinct()), broadcast_rows)
+    found = cut(fingerprints(chosen, ["doc_id", "th"], "text", n, k, short, False).join(known, ["length", "a", "b"]))
     pairs = found.select("doc_id", "th", "length", "a", "b").distinct().join(items, ["length", "a", "b"]).select("doc_id", "th", "item_id").distinct()
-    return found.select("doc_id", "th", "pos", "length").distinct(), pairs
+    return scan.where("row").drop("row"), found.select("doc_id", "th", "pos", "length").distinct(), pairs
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -122,27 +135,31 @@ def spans(found: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "th", "span").agg(F.min("pos").alias("start"), ends.alias("end")).drop("span")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8, share: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """All columns of docs (which needs doc_id and text) and n_words, n_hit, item_ids, hit_spans, contaminated.
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 8, share: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, th, n_words, n_hit, item_ids, hit_spans, contaminated: one row per row of docs (doc_id, text).
 
     contaminated: at least one word in `share` is part of a window that occurs in the benchmark.
-    hit_spans are (start, end) in words, item_ids sorted as strings. A column of docs that has
-    one of these names is replaced.
+    hit_spans are (start, end) in words; item_ids are sorted as strings.
     """
-    found, pairs = hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n, k, broadcast_rows)
+    rows, found, pairs = hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), n, k, broadcast_rows)
     length = F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit")
     merged = spans(found).groupBy("doc_id", "th").agg(length, F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
     items = pairs.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    marked = merged.alias("m").join(items.alias("i"), F.expr("m.doc_id <=> i.doc_id and m.th <=> i.th"), "left")
+    marked = merged.alias("m").join(items.alias("i"), F.expr("m.doc_id <=> i.doc_id and m.th = i.th"), "left")
     marked = marked.select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"), "n_hit", "hit_spans", "item_ids")
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "hit_spans", "contaminated")]
-    out = docs.select(*own).join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__th")), "left")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(_ANY_WORD)), F.lit(0)).cast("long")
-    out = out.select(
-        *own,
-        n_words.alias("n_words"),
+    out = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").select(
+        "doc_id",
+        "th",
+        "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("hit_spans"),
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000, **parameters) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    bad = cut(report(docs, benchmark, broadcast_rows=broadcast_rows, **parameters).where("contaminated").select("doc_id", "th").distinct())
+    bad = _small(bad, broadcast_rows).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
