@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cap_filters, hilbert, jaccard_join, mixing, toxicity, winnow
+from tidemark.llm import cap_filters, hilbert, jaccard_join, mixing, pii_crf, toxicity, winnow
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op7_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_personal_data_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digest(pii_crf.find(table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
