@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cap_filters, hilbert, html_text, jaccard_join, mixing, pii_crf, toxicity, winnow
+from tidemark.llm import cap_filters, hilbert, html_text, jaccard_join, license_rules, mixing, pii_crf, toxicity, winnow
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op5_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op6_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_rules.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("ids", "rules", "licenses")])
+
+
 def op7_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -86,4 +91,4 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_winnowing_decontamination": _OP2}
+    return {"op2_winnowing_decontamination": _OP2, "op6_license_sentence_rules": license_rules.sql()}
