@@ -44,6 +44,8 @@ def _main(k: int, wrap: str, close: str) -> list[tuple[int, str]]:
             body.append((0, f'<div class="ad">{ADVERTS[(k + j) % 7]}</div>'))
         if (k + j) % 5 == 3:
             body.append((1, f"<h2>{HEADINGS[(k + j) % 4]}</h2><ul><li>{PARAGRAPHS[1]}</li><li>{PARAGRAPHS[(k + j) % 8]}</li></ul>"))
+        if (k + j) % 6 == 1:
+            body.append((1, "<p><a href='/r'>The full report of the council on the flood walls</a></p>"))
         if (k + j) % 7 == 4:
             body.append((0, f"<aside>{SIDES[(k + j) % 6]}</aside>"))
     return [*body, (1, close)]
