@@ -146,6 +146,16 @@ class Lexicon:
         return np.concatenate([self.dense(columns, k, min(k + 1000, self.count)) @ right for k in range(0, self.count, 1000)])
 
 
+def _scores_of(found: list[bytes], table: np.ndarray) -> np.ndarray:
+    data = np.frombuffer(b"\n".join(found), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(w) + 1 for w in found])))
+    offs[-1] -= 1
+    symbol, word, starts, _, first = words(data, offs)
+    out = np.full(len(found), -np.inf)
+    np.maximum.at(out, np.repeat(np.arange(len(found)), np.diff(first)), word_scores(symbol, word, len(starts), table))
+    return out
+
+
 def machine(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss; classes weigh the same. Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -234,16 +244,14 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, seed: int
         return Model(np.zeros(0), 0.0, np.zeros(0), base)
     keep = _distinct(texts)
     rng = np.random.Generator(np.random.PCG64(seed))
-    bags = []
-    for k in keep:
-        data = np.frombuffer(texts[k], np.uint8)
-        _, _, starts, ends, _ = words(data[data < 192], np.array([0, int((data < 192).sum())]))
-        low = bytes(data[data < 192]).lower()
-        bags.append({low[a:b].strip(b"!?.,;:*#$%&|\"'()") for a, b in zip(starts, ends, strict=True)} - {b""})
     y = toxic[keep]
     up, down = Counter(), Counter()
-    for bag, is_toxic in zip(bags, y, strict=True):
-        (up if is_toxic else down).update(bag)
+    for k, is_toxic in zip(keep, y, strict=True):  # one document's words at a time
+        data = np.frombuffer(texts[k], np.uint8)
+        data = data[data < 192]
+        _, _, starts, ends, _ = words(data, np.array([0, len(data)]))
+        low = data.tobytes().lower()
+        (up if is_toxic else down).update({low[a:b].strip(b"!?.,;:*#$%&|\"'()") for a, b in zip(starts, ends, strict=True)} - {b""})
     n_up, n_down = max(1, int(y.sum())), max(1, int((1 - y).sum()))
 
     def surprise(w: bytes) -> float:
@@ -264,7 +272,7 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, seed: int
     negative = sorted(set(frequent + random))
     positive = marks + _gapped(marks[:600], rng)
     negative = sorted(set(negative + _gapped(frequent, rng)))
-    everything = Lexicon(sorted(plain)) if plain else None
+    plain.sort()
     for hard in range(3):
         chosen = marks[: landmarks // 4] + [positive[i] for i in rng.permutation(len(positive))[: landmarks // 4]] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 2]]
         lex = Lexicon(chosen)
@@ -275,11 +283,9 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, seed: int
         w = machine(x, np.concatenate((np.ones(len(positive)), -np.ones(len(negative)))), 10.0)
         alpha, bias = white @ w[:-1], float(w[-1])
         table = np.bincount(lex.triple, lex.value * alpha[lex.row], _N**3)
-        if hard < 2 and everything is not None:
-            score = np.bincount(everything.row, everything.value * table[everything.triple], everything.count)
-            worst = np.argsort(-score, kind="stable")[:1000]
-            ordered = sorted(plain)
-            negative = sorted(set(negative) | {ordered[i] for i in worst})
+        if hard < 2 and plain:
+            score = np.concatenate([_scores_of(plain[k : k + 5000], table) for k in range(0, len(plain), 5000)])
+            negative = sorted(set(negative) | {plain[i] for i in np.argsort(-score, kind="stable")[:1000]})
     # whole documents, and each one's most suspicious line as a short document
     texts = texts + _best_lines(texts, table, bias)
     data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
@@ -292,11 +298,11 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_bytes: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 5000, most_bytes: int = 20_000) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic. Trains on the driver from the sample that the module's docstring describes."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    half = most_rows // 2
+    half = most_rows * 3 // 10
     take = {k: min(1.0, (half if k else most_rows - half) / max(1, counts.get(k, 0))) for k in (0, 1)}
     share = F.when(F.col("toxic") == 1, F.lit(take[1])).otherwise(F.lit(take[0]))
     sample = known.where(F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) * F.lit(2.0**-53) < share)
