@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import buckets, bytesoup
@@ -136,24 +136,54 @@ def _near(threshold: float):
     return near
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, tile: int = 256) -> DataFrame:
-    """doc_id, class_id, n_grams, n_links, component_id, kept: one row per document.
-
-    class_id: the least doc_id with the same n-gram set (null without words). n_links: other
-    documents of Jaccard similarity >= threshold, those of the own class included. component_id:
-    the least doc_id reachable by links. kept: the document stays when one of each component does
-    (of repeated rows with that id, all).
-    """
+def _joined(docs: DataFrame, n: int, threshold: float, recall: float, tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, th, cls, n_grams), classes (cls, class_id, n_rows, first) and what buckets.linked() finds."""
     rows, count = bands(threshold, recall)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     signed = cut(docs.mapInArrow(_signer(n, rows, count), "doc_id bigint, th bigint, cls binary, n_grams bigint, bands array<bigint>"))
     classes = signed.where("cls is not null").groupBy("cls")
-    first = F.min(F.struct("doc_id", "th")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     classes = cut(classes.agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), first, F.first("bands").alias("bands")))
     placed = buckets.shared(classes, "bands", tile)
     # one text for each class in a bucket: that of its first row
     own = classes.select("cls", "n_rows", "first.*").join(buckets.buckets_of(placed), "cls").alias("c")
     texts = docs.alias("d").join(own, F.expr("d.doc_id <=> c.doc_id and d.th = c.th")).select("cls", "n_rows", "buckets", "text")
     sets = texts.mapInArrow(_setter(n), "cls binary, n_rows bigint, buckets array<bigint>, payload array<bigint>")
-    found = buckets.linked(classes, placed, sets, _near(threshold), np.uint64)
+    return signed.drop("bands"), classes.drop("bands"), buckets.linked(classes, placed, sets, _near(threshold), np.uint64)
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, tile: int = 256) -> DataFrame:
+    """doc_id, class_id, n_grams, n_links, component_id, kept: one row per document.
+
+    class_id: the least doc_id with the same n-gram set (null without words). n_links: other
+    documents of Jaccard similarity >= threshold, those of the own class included. component_id:
+    the least doc_id reachable by links. kept: the document stays when one of each component does
+    (of repeated rows with that id, all; distinct() leaves one).
+    """
+    signed, classes, found = _joined(docs, n, threshold, recall, tile)
     return buckets.per_row(signed.select("doc_id", "cls", "n_grams"), classes, found, "doc_id").drop("cls")
+
+
+def distinct(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, tile: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one row of each component does.
+
+    The one with the least id stays (a null id is greater than all), of equal ids the one with the
+    least text hash, of equal rows one of them. Rows without words stay. What goes is broadcast
+    only after it was counted.
+    """
+    signed, classes, found = _joined(docs, n, threshold, recall, tile)
+    labelled = classes.select("cls", "first").join(found.select("cls", "root"), "cls")
+    stays = labelled.groupBy("root").agg(F.min("first").alias("stays"))
+    stays = labelled.join(stays, "root").select("cls", "stays.doc_id", "stays.th").alias("c")
+    rows = signed.where("cls is not null").alias("r").join(stays, "cls").where("not (r.doc_id <=> c.doc_id and r.th = c.th)")
+    gone = cut(rows.select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
+    twice = cut(signed.where("cls is not null").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).count().where("count > 1").drop("count"))
+    if twice.isEmpty():
+        return out
+    # repeated rows: number those that are left, and only those
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    plain = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
+    one = out.join(twice, match).withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__th").orderBy(*plain)))
+    return out.join(twice, match, "left_anti").unionByName(one.where("__k = 1").select(*docs.columns))
