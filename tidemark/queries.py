@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
-from tidemark.functions.keys import blob_key, id_floor, id_text, id_time_ms, parse_window_key, sip_partition, varint_size, virtual_partition, window_key
+from tidemark.functions.keys import blob_key, id_text, id_time_ms, parse_window_key, sip_partition, varint_size, virtual_partition, window_key
 from tidemark.operators import control, inspect, lease, log, placement, scan
 from tidemark.operators import cost as costs
 from tidemark.plans import windows
@@ -653,12 +653,12 @@ def sticky_assignment(spark, sf):
     return spark.createDataFrame([(v, before[v], o) for v, o in sorted(after.items())], "vp int, before string, member_id string")
 
 
-@register()
+@register(f"WITH {_IDX} SELECT topic, vp, window_start, seq_start AS deliver_from, seq_end, CAST(0 AS BIGINT) AS gap FROM idx")
 def stream_replay(spark, sf):
     """The streaming reader over events in micro-batches; tests hold it against the batch form."""
     return replay.replay_events(spark, sf)
 
 
-@register()
+@register(f"WITH {_REC} SELECT topic, window_start, count(*) AS record_count, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM rec GROUP BY topic, window_start")
 def stream_windows(spark, sf):
     return replay.windowed_counts(spark, sf)

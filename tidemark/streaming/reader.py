@@ -43,15 +43,15 @@ class Reader:
 
 
 class _Processor(StatefulProcessor):
-    def __init__(self, horizon_s: int) -> None:
-        self.horizon_s = horizon_s
+    def __init__(self, horizon_s: int, start: int | None) -> None:
+        self.horizon_s, self.start = horizon_s, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cursor = handle.getValueState("cursor", "value bigint")
         self.held = handle.getListState("held", "window_start bigint, seq_start bigint, seq_end bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        reader = Reader(self.horizon_s, self.cursor.get()[0] if self.cursor.exists() else None, [tuple(int(x) for x in r) for r in self.held.get()] if self.held.exists() else [])
+        reader = Reader(self.horizon_s, self.cursor.get()[0] if self.cursor.exists() else self.start, [tuple(int(x) for x in r) for r in self.held.get()] if self.held.exists() else [])
         frame = pd.concat(list(rows))
         batches = [(int(w), int(s), int(e)) for w, s, e in zip(frame["window_start"], frame["seq_start"], frame["seq_end"], strict=True)]
         out = reader.take(batches, int(frame["now_s"].max()))
@@ -71,17 +71,20 @@ class _Processor(StatefulProcessor):
 SCHEMA = "topic string, vp int, window_start bigint, deliver_from bigint, seq_end bigint, gap bigint"
 
 
-def read_stream(index: DataFrame, horizon_s: int) -> DataFrame:
-    """Streaming index rows (topic, vp, window_start, seq_start, seq_end, now_s) to deliveries."""
-    return index.groupBy("topic", "vp").transformWithStateInPandas(_Processor(horizon_s), SCHEMA, "append", "none")
+def read_stream(index: DataFrame, horizon_s: int, start: int | None = None) -> DataFrame:
+    """Streaming index rows (topic, vp, window_start, seq_start, seq_end, now_s) to deliveries.
 
+    start: the cursor of partitions that have none yet (-1: from offset 0); None takes what comes first.
+    """
+    return index.groupBy("topic", "vp").transformWithStateInPandas(_Processor(horizon_s, start), SCHEMA, "append", "none")
 
-def read_batch(index: DataFrame, horizon_s: int, now_s: int) -> DataFrame:
+
+def read_batch(index: DataFrame, horizon_s: int, now_s: int, start: int | None = None) -> DataFrame:
     """The same over all rows at once; keys run in parallel."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batches = [(int(w), int(s), int(e)) for w, s, e in zip(rows["window_start"], rows["seq_start"], rows["seq_end"], strict=True)]
-        out = Reader(horizon_s).take(batches, now_s)
+        out = Reader(horizon_s, start).take(batches, now_s)
         return pd.DataFrame([(rows["topic"].iloc[0], rows["vp"].iloc[0], *r) for r in out], columns=["topic", "vp", "window_start", "deliver_from", "seq_end", "gap"])
 
     return index.select("topic", "vp", "window_start", "seq_start", "seq_end").groupBy("topic", "vp").applyInPandas(run, SCHEMA)

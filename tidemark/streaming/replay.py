@@ -21,7 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def replay_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """Deliveries of the events' index, streamed in some micro-batches by window."""
+    """Deliveries of the events' index, streamed in some micro-batches by window, in any order.
+
+    The horizon spans all events, so what comes early waits for what is missing.
+    """
     folder = scratch(spark, "replay")
     index = segment_batches(event_records(spark, sf_dir)).select("topic", "vp", "window_start", "seq_start", "seq_end", (F.col("window_start") + WINDOW_S).alias("now_s"))
     index.repartitionByRange(parts, "window_start").write.parquet(f"{folder}/in")
@@ -29,7 +32,7 @@ def replay_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
         stream = spark.readStream.schema(index.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        out = read_stream(stream, 0).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+        out = read_stream(stream, 400 * 86400, -1).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
         out.trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:
