@@ -35,11 +35,13 @@ ADDED = ["n_lines", "n_recurring", "n_dropped", "clean_text"]
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """doc_id, th, line, text, leaf, same: all lines of enough tokens, normalised. same: hash of the whole line."""
-    text = F.regexp_replace(F.regexp_replace("text", r"[ \t\r\f\x0B]+", " "), "[0-9]+", "0")
+    text = F.col("text")
+    odd = [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]  # most texts need no replacing, and searching is cheap
+    text = F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
+    text = F.when(F.rlike(text, F.lit("[0123456789]")), F.regexp_replace(text, "[0123456789]+", "0")).otherwise(text)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
     rows = rows.withColumn("text", F.trim("text"))
-    tokens = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumn("n", tokens).where(F.col("n") >= min_tokens)
+    rows = rows.withColumn("n", F.size(F.split("text", " "))).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
     return rows.select("doc_id", "th", "line", "text", leaf.alias("leaf"), F.xxhash64("text").alias("same"))
 
@@ -51,12 +53,16 @@ def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity:
     """
     docs = docs.select("doc_id", "text")
     lines = _lines(docs, depth, min_tokens)
-    leaves = lines.select("leaf", "doc_id", "th").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs)
-    leaves = cut(leaves.select("leaf"))
-    lines = cut(lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_rows else leaves, "leaf"))
-    per_doc = lines.groupBy("leaf", "same", "doc_id", "th").agg(F.first("text").alias("text"))
+    per_doc = lines.groupBy("leaf", "doc_id", "th").agg(F.min("same").alias("a"), F.max("same").alias("b"))
+    leaves = per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("a") != F.max("b")).alias("mixed")).where(F.col("docs") >= min_docs)
+    leaves = cut(leaves.select("leaf", "mixed"))
+    lines = lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_rows else leaves, "leaf")
+    # a leaf whose lines are all equal is its own template: only the text of the others is needed
+    lines = cut(lines.withColumn("text", F.when(F.col("mixed"), F.col("text"))))
+    mixed = lines.where("mixed")
+    per_doc = mixed.groupBy("leaf", "same", "doc_id", "th").agg(F.first("text").alias("text"))
     distinct = cut(per_doc.groupBy("leaf", "same").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("docs")))
-    tokens = distinct.select("leaf", "same", "docs", F.posexplode(F.split("text", " ")).alias("place", "token"))
+    tokens = distinct.select("leaf", "docs", F.posexplode(F.split("text", " ")).alias("place", "token"))
     counts = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("c"))
     best = counts.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("c")).alias("c"), "token")).alias("best"), F.sum("c").alias("all"))
     fixed = best.where(-2 * F.col("best.c") >= F.col("all")).select("leaf", F.struct("place", "best.token").alias("x"))
@@ -65,7 +71,9 @@ def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity:
     agree = F.aggregate(F.transform(words, lambda t, i: (F.element_at("template", i) == t).cast("int")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     own = F.when(agree >= similarity * F.size(words), F.lit(0).cast("long")).otherwise(F.col("same"))
     named = distinct.join(template, "leaf", "left").select("leaf", "same", F.coalesce(own, F.col("same")).alias("own"))
-    marked = cut(lines.select("doc_id", "th", "line", "leaf", "same").join(named, ["leaf", "same"]).select("doc_id", "th", "line", "leaf", "own").distinct())
+    place = ["doc_id", "th", "line", "leaf"]
+    alone = lines.where("not mixed").select(*place, F.lit(0).cast("long").alias("own"))
+    marked = cut(mixed.select(*place, "same").join(named, ["leaf", "same"]).select(*place, "own").unionByName(alone).distinct())
     by_doc = marked.groupBy("leaf", "own", "doc_id", "th").agg(F.min("line").alias("line"))
     groups = by_doc.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th", "line")).alias("f")).where(F.col("docs") >= min_docs)
     out = marked.join(groups, ["leaf", "own"])
