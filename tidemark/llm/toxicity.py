@@ -16,8 +16,8 @@ through a logistic regression, which gives the score.
 
 Training data: at most about `most_rows` labelled documents of at most `most_bytes` bytes, chosen
 by a hash of the id among labelled rows outside the held-out fold (crc32 of the id as text, modulo
-5, is 0) -- a documented bound; only the ids are broadcast, the texts of the sample go to the
-driver. Scoring takes every whole text. Nothing but the text is an input of a score.
+5, is 0) -- a documented bound; only the ids are broadcast, the texts of the sample go to one
+task, which sends the weights to the driver. Scoring takes every whole text. Nothing but the text is an input of a score.
 
 Defined results: null and empty texts get the score of a text without words. Repeated rows get
 equal scores. A null id is not held out. Several labels of one id count as toxic if one is. Without labels of both
@@ -266,13 +266,13 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, seed: int
     marks = [w for s, w in told if s >= 20][:4000] or [w for s, w in told[:5] if s > 0]
     if not marks:
         return Model(np.zeros(0), 0.0, np.zeros(0), base)
-    plain = [w for w in down if len(w) > 2 and w not in set(marks)]
+    told_marks = set(marks)
+    plain = sorted(w for w in down if len(w) > 2 and w not in told_marks)
     frequent = sorted(plain, key=lambda w: (-down[w], w))[:1500]
     random = [plain[i] for i in rng.permutation(len(plain))[:3000]] if plain else []
     negative = sorted(set(frequent + random))
     positive = marks + _gapped(marks[:600], rng)
     negative = sorted(set(negative + _gapped(frequent, rng)))
-    plain.sort()
     for hard in range(3):
         chosen = marks[: landmarks // 4] + [positive[i] for i in rng.permutation(len(positive))[: landmarks // 4]] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 2]]
         lex = Lexicon(chosen)
@@ -294,12 +294,25 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, seed: int
     return Model(table.astype(np.float32), bias, doc, base)
 
 
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the model trained on all rows, which the sample's bound keeps few."""
+    rows = []
+    for batch in batches:
+        rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    rows.sort()
+    texts, toxic = [r[1].encode() for r in rows], np.array([r[2] for r in rows], int)
+    del rows
+    m = train(texts, toxic)
+    row = {"weights": m.table.astype(np.float32).tobytes(), "bias": m.bias, "doc": m.doc.astype(np.float64).tobytes(), "base": m.base}
+    yield pa.RecordBatch.from_pylist([row])
+
+
 def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 5000, most_bytes: int = 20_000) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic. Trains on the driver from the sample that the module's docstring describes."""
+    """docs: doc_id, text. labels: doc_id, toxic. Trains in one task on the sample that the module's docstring describes."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     half = most_rows * 3 // 10
@@ -307,8 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 5000, most_bytes: i
     share = F.when(F.col("toxic") == 1, F.lit(take[1])).otherwise(F.lit(take[0]))
     sample = known.where(F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) * F.lit(2.0**-53) < share)
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(sample), "doc_id")
-    rows = sorted((r["doc_id"], r["text"].encode(), r["toxic"]) for r in rows.collect())
-    model = train([r[1] for r in rows], np.array([r[2] for r in rows], int))
+    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_trainer, "weights binary, bias double, doc binary, base double").collect()
+    model = Model(np.frombuffer(made[0]["weights"], np.float32), made[0]["bias"], np.frombuffer(made[0]["doc"]).copy(), made[0]["base"]) if made else train([], np.zeros(0, int))
     if len(model.doc) and take[1] > 0 and take[0] > 0:
         # the sample holds more toxic rows than the labels do: set the odds right
         model.doc[-1] += np.log(take[0] / take[1])
