@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bytesoup import trimmed
 from tidemark.llm.common import connected_components, cut
 
 #: Payloads of a group's classes to the table of which pairs link.
@@ -115,7 +116,7 @@ def linked(classes: DataFrame, placed: DataFrame, payload: DataFrame, near: Near
     )
     dealt = place.join(payload, "cls").repartition(F.col("g")).sortWithinPartitions("g", "bucket", "cls")
     dealt = dealt.select("g", "bucket", "side", "cls", "n_rows", "buckets", "payload")
-    found = cut(dealt.mapInArrow(_verifier(near, kind), "cls binary, links bigint, root binary"))
+    found = cut(dealt.mapInArrow(trimmed(_verifier(near, kind)), "cls binary, links bigint, root binary"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("cls", "root"), "cls", "root").withColumnRenamed("node", "cls")
     out = classes.select("cls", "n_rows").join(roots, "cls", "left").join(links, "cls", "left")

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import buckets
-from tidemark.llm.common import cut
+from tidemark.llm.bytesoup import trimmed
+from tidemark.llm.common import cut, lean
 
 
 def vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -160,11 +161,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9, cap_rows: float = 2
     kind = np.float64 if "double" in dict(embeddings.dtypes)["embedding"] else np.float32
     name = "array<double>" if kind is np.float64 else "array<float>"
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(name))
-    keyed = cut(rows.mapInArrow(_keyed, f"vec_id bigint, cls binary, embedding {name}"))
+    keyed = cut(lean(rows).mapInArrow(trimmed(_keyed), f"vec_id bigint, cls binary, embedding {name}"))
     classes = keyed.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), F.first("embedding").alias("payload"))
     classes = cut(classes)
     decode = _decoder(classes.count(), cosine, cap_rows, shared_caps, codes, seed)
-    placed = buckets.shared(classes.select("cls", "payload").mapInArrow(decode, "cls binary, caps array<bigint>"), "caps", tile)
+    placed = buckets.shared(classes.select("cls", "payload").mapInArrow(trimmed(decode), "cls binary, caps array<bigint>"), "caps", tile)
     payload = classes.select("cls", "n_rows", "payload").join(buckets.buckets_of(placed), "cls")
     found = buckets.linked(classes, placed, payload, _near(cosine), kind)
     return buckets.per_row(keyed.select("vec_id", "cls"), classes, found, "vec_id").drop("cls")

@@ -36,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """The same frame, after setting Arrow batches to 8 MB where the session has Spark's 64 MB: texts fill them, and each task holds some."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) in ("67108864b", "64m", "64MB", "67108864"):
+        df.sparkSession.conf.set(name, "8m")
+    return df
+
+
 def words_of(text):
     """Array of the words of a text; null gives an empty array.
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bytesoup import trimmed
+from tidemark.llm.common import lean
 from tidemark.llm.html_table import pages
 
 _TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|[!?][^>]*+>)""")
@@ -247,5 +249,5 @@ def extract(web: DataFrame) -> DataFrame:
             texts = pa.array([main_text(x or "") for x in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], ["page_id", "url", "text"])
 
-    out = web.select("page_id", "url", "html").mapInArrow(read, "page_id bigint, url string, text string")
+    out = lean(web).select("page_id", "url", "html").mapInArrow(trimmed(read), "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import buckets, bytesoup
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, lean
 
 _SEED = np.random.Generator(np.random.PCG64(77))
 _MUL = _SEED.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,7 +140,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, tile: int)
     """Rows (doc_id, th, cls, n_grams), classes (cls, class_id, n_rows, first) and what buckets.linked() finds."""
     rows, count = bands(threshold, recall)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    signed = cut(docs.mapInArrow(_signer(n, rows, count), "doc_id bigint, th bigint, cls binary, n_grams bigint, bands array<bigint>"))
+    signed = cut(lean(docs).mapInArrow(bytesoup.trimmed(_signer(n, rows, count)), "doc_id bigint, th bigint, cls binary, n_grams bigint, bands array<bigint>"))
     classes = signed.where("cls is not null").groupBy("cls")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     classes = cut(classes.agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), first, F.first("bands").alias("bands")))
@@ -148,7 +148,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, recall: float, tile: int)
     # one text for each class in a bucket: that of its first row
     own = classes.select("cls", "n_rows", "first.*").join(buckets.buckets_of(placed), "cls").alias("c")
     texts = docs.alias("d").join(own, F.expr("d.doc_id <=> c.doc_id and d.th = c.th")).select("cls", "n_rows", "buckets", "text")
-    sets = texts.mapInArrow(_setter(n), "cls binary, n_rows bigint, buckets array<bigint>, payload array<bigint>")
+    sets = texts.mapInArrow(bytesoup.trimmed(_setter(n)), "cls binary, n_rows bigint, buckets array<bigint>, payload array<bigint>")
     return signed.drop("bands"), classes.drop("bands"), buckets.linked(classes, placed, sets, _near(threshold), np.uint64)
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesoup
+from tidemark.llm.common import lean
 from tidemark.llm.pii_table import LABELLED
 
 KINDS = ("email", "ip", "card", "phone")
@@ -289,7 +290,7 @@ def find(docs: DataFrame) -> DataFrame:
                     spans[k] = [dict(zip(("start", "end", "kind", "base"), s, strict=True)) for s in both]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(tag, "doc_id bigint, spans array<struct<start:bigint,end:bigint,kind:string,base:boolean>>")
+    return lean(docs).select("doc_id", "text").mapInArrow(bytesoup.trimmed(tag), "doc_id bigint, spans array<struct<start:bigint,end:bigint,kind:string,base:boolean>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

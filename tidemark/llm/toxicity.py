@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesoup
+from tidemark.llm.common import lean
 
 DECAY, STEP, FOLDS = 0.7, 3, 5
 #: Symbols: 0 white space, 1-26 letters, 27 digits, 28 other ASCII, 29-60 other letters by their last byte (case-blind for Latin), 61 dropped.
@@ -320,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 5000, most_bytes: i
     share = F.when(F.col("toxic") == 1, F.lit(take[1])).otherwise(F.lit(take[0]))
     sample = known.where(F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) * F.lit(2.0**-53) < share)
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(sample), "doc_id")
-    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_trainer, "weights binary, bias double, doc binary, base double").collect()
+    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(bytesoup.trimmed(_trainer), "weights binary, bias double, doc binary, base double").collect()
     model = Model(np.frombuffer(made[0]["weights"], np.float32), made[0]["bias"], np.frombuffer(made[0]["doc"]).copy(), made[0]["base"]) if made else train([], np.zeros(0, int))
     if len(model.doc) and take[1] > 0 and take[0] > 0:
         # the sample holds more toxic rows than the labels do: set the odds right
@@ -341,7 +342,7 @@ def _scorer(model: Model):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text)."""
-    out = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id bigint, score double")
+    out = lean(docs).select("doc_id", "text").mapInArrow(bytesoup.trimmed(_scorer(model)), "doc_id bigint, score double")
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -355,4 +356,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
             parts = [model.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in bytesoup.chunks(offs)]
             yield batch.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return lean(docs).mapInArrow(bytesoup.trimmed(keep), docs.schema)
