@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.functions.keys import blob_key, id_text, id_time_ms, parse_window_key, sip_partition, varint_size, virtual_partition, window_key
-from tidemark.operators import control, inspect, lease, log, placement, scan
+from tidemark.operators import control, flush, inspect, lease, log, placement, scan
 from tidemark.operators import cost as costs
-from tidemark.plans import windows
+from tidemark.plans import reader, windows
 from tidemark.sources.tables import PARTITIONS, WINDOW_S, event_arrivals, event_records, order_records, table
 from tidemark.streaming import replay
 
@@ -560,6 +560,187 @@ def cost_model(spark, sf):
     return out.select("scenario", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
+# Flushing
+
+
+_BUF = "buf AS (SELECT event_type AS topic, CAST(user_id AS INTEGER) AS vp, bool_or(event_id % 97 = 0) AS draining, CAST(max(event_id % 900) AS BIGINT) AS age_ms, CAST(sum(strlen(props)) AS BIGINT) AS buffered_bytes FROM events GROUP BY event_type, user_id)"
+
+
+def buffers(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("topic"), F.col("user_id").cast("int").alias("vp"))
+    return e.agg(F.bool_or(F.col("event_id") % 97 == 0).alias("draining"), F.max(F.col("event_id") % 900).alias("age_ms"), F.sum(F.octet_length("props")).cast("long").alias("buffered_bytes"))
+
+
+@register(f"WITH {_BUF} SELECT topic, vp, CASE WHEN draining THEN 'lease_drain' WHEN age_ms >= 850 THEN 'max_delay' WHEN buffered_bytes >= 120 THEN 'max_bytes' END AS trigger FROM buf")
+def flush_triggers(spark, sf):
+    trigger = flush.flush_trigger(F.col("draining"), F.col("age_ms"), F.col("buffered_bytes"), 850, 120)
+    return buffers(spark, sf).select("topic", "vp", trigger.alias("trigger"))
+
+
+@register(
+    f"""WITH {_BUF}, s AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY vp) AS r FROM buf WHERE NOT draining)
+    SELECT topic, vp, 'max_delay' AS trigger, CAST(dense_rank() OVER (ORDER BY topic <= 'error', topic) - 1 AS INTEGER) AS turn FROM s WHERE r <= 99"""
+)
+def flush_plan(spark, sf):
+    return flush.flush_plan(buffers(spark, sf), 850, 120, last_topic="error")
+
+
+@register(f"WITH {_REC} SELECT topic || '/' || CAST(vp AS VARCHAR) AS batch, \"offset\" AS pos, sum(payload_bytes + 4) OVER (PARTITION BY topic, vp ORDER BY \"offset\") <= 500 AS in_prefix FROM rec")
+def prefix_split(spark, sf):
+    r = event_records(spark, sf).select(F.concat_ws("/", "topic", F.col("vp").cast("string")).alias("batch"), F.col("offset").alias("pos"), (F.col("payload_bytes") + 4).alias("encoded_bytes"))
+    return flush.prefix_split(r, 500).drop("encoded_bytes")
+
+
+@register(
+    f"""WITH {_IDX} SELECT topic, CASE WHEN vp = 0 THEN 'lease_drain' WHEN record_count > 3 THEN 'max_bytes' ELSE 'max_delay' END AS trigger, count(*) AS partitions, CAST(sum(record_count) AS BIGINT) AS records,
+    CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM idx GROUP BY topic, trigger"""
+)
+def plan_summary(spark, sf):
+    return flush.plan_summary(index(spark, sf).withColumn("trigger", F.when(F.col("vp") == 0, "lease_drain").when(F.col("record_count") > 3, "max_bytes").otherwise("max_delay")))
+
+
+@register(
+    """WITH a AS (SELECT event_type AS topic, 'r' || CAST(user_id % 3 AS VARCHAR) AS reason, event_id AS id FROM events WHERE event_id % 4 = 0)
+    SELECT topic, reason, max(n) AS retries, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY topic, reason ORDER BY id DESC) AS r, count(*) OVER (PARTITION BY topic, reason) AS n FROM a) WHERE r <= 3 GROUP BY topic, reason"""
+)
+def retry_summary(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 4 = 0")
+    return flush.retry_summary(e.select(F.col("event_type").alias("topic"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("reason"), F.col("event_id").alias("at"), F.col("event_id").alias("id")), 3)
+
+
+@register(f"WITH {_IDX} SELECT topic, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes, count(*) FILTER (WHERE vp >= 4) AS sealed_batches FROM idx GROUP BY topic")
+def buffered_stats(spark, sf):
+    i = index(spark, sf)
+    return flush.buffered_stats(i.where("vp < 4"), i.where("vp >= 4"))
+
+
+# Readers
+
+_CKPT = (
+    _IDX
+    + """, ck AS (SELECT topic, vp, CASE WHEN vp <> 7 THEN max(seq_end) // 2 END AS cursor, CASE vp WHEN 1 THEN NULL WHEN 2 THEN min(window_start) WHEN 3 THEN 1706313600 WHEN 7 THEN NULL ELSE max(window_start) - 86400 END AS ckpt_window,
+  CASE WHEN vp IN (1, 7) THEN NULL ELSE max(snowflake_id) - CAST(8640000 AS BIGINT) * 16777216 END AS ckpt_snowflake, CASE WHEN vp = 1 AND topic <> 'view' THEN 1706200000123 END AS committed_ms FROM idx GROUP BY topic, vp)"""
+)
+
+
+def checkpoints(idx: DataFrame) -> DataFrame:
+    vp = F.col("vp")
+    window = F.when(vp.isin(1, 7), F.lit(None)).when(vp == 2, F.min("window_start")).when(vp == 3, F.lit(1706313600)).otherwise(F.max("window_start") - 86400)
+    return idx.groupBy("topic", "vp").agg(
+        F.when(vp != 7, F.floor(F.max("seq_end") / 2)).alias("cursor"),
+        window.cast("long").alias("ckpt_window"),
+        F.when(~vp.isin(1, 7), F.max("snowflake_id") - 86400 * 100 * 2**24).alias("ckpt_snowflake"),
+        F.when((vp == 1) & (F.col("topic") != "view"), F.lit(1706200000123)).alias("committed_ms"),
+    )
+
+
+@register(
+    f"""WITH {_CKPT}, s AS (SELECT *, greatest(coalesce(ckpt_window, committed_ms // 21600000 * 21600, 1705428000), 1705428000) AS source FROM ck)
+    SELECT topic, vp, CASE WHEN cursor IS NULL THEN 'fresh' WHEN source <= 1706292000 THEN 'recovering' ELSE 'fast' END AS mode, CAST(CASE WHEN cursor IS NULL THEN 1706292000 WHEN source <= 1706292000 THEN source END AS BIGINT) AS next_window,
+    CAST(CASE WHEN cursor IS NOT NULL AND source <= 1706292000 AND ckpt_window = source THEN CAST(ceil((greatest(ckpt_snowflake // 16777216 * 10 + 1409529600000 - 15010, source * 1000) - 1409529600000) / 10.0) AS BIGINT) * 16777216 END AS BIGINT) AS first_bound,
+    CAST(1706292000 AS BIGINT) AS cutover_window FROM s"""
+)
+def hydrate(spark, sf):
+    out = reader.hydrate(checkpoints(index(spark, sf)), NOW_MS, WINDOW_S, 864_000, 15_010)
+    return out.select("topic", "vp", "mode", "next_window", "first_bound", "cutover_window")
+
+
+@register(
+    f"""WITH {_IDX}, q AS (SELECT topic, vp, window_start, CAST((window_start + vp * 1000) // 21600 * 21600 AS BIGINT) AS al, snowflake_id FROM idx)
+    SELECT topic, vp, window_start, least(greatest(al, 1705428000), 1706292000) AS start_window, CASE WHEN al BETWEEN 1705428000 AND 1706292000 THEN snowflake_id END AS start_bound FROM q"""
+)
+def seek(spark, sf):
+    q = index(spark, sf).select("topic", "vp", "window_start", F.lit(0).alias("offset"), "snowflake_id").withColumn("asked", F.col("window_start"))
+    out = reader.seek(q.withColumn("window_start", F.col("window_start") + F.col("vp") * 1000), NOW_MS, WINDOW_S, 864_000)
+    return out.select("topic", "vp", F.col("asked").alias("window_start"), "start_window", "start_bound")
+
+
+@register(
+    f"""WITH {_IDX}, w AS (SELECT topic, vp, window_start * 1000 + 5 AS coverage_floor_ms, greatest(window_start, 1704412800) AS c FROM idx)
+    SELECT topic, vp, coverage_floor_ms, c AS coverage_window, CASE WHEN c >= 1706270400 THEN 'none' WHEN c + 21600 = 1706270400 THEN 'tail' ELSE 'recover' END AS plan FROM w"""
+)
+def fast_debt(spark, sf):
+    s = index(spark, sf).select("topic", "vp", (F.col("window_start") * 1000 + 5).alias("coverage_floor_ms"))
+    return reader.fast_debt(s, NOW_MS, WINDOW_S, 15_000_000, 1704412800)
+
+
+@register(
+    f"""WITH {_IDX}, b AS (SELECT topic, vp, window_start, CASE WHEN vp % 2 = 0 THEN snowflake_id + 5 END AS frontier,
+      CAST(ceil((greatest(window_start * 1000, least(1706300000000 - 15010, window_start * 1000 + vp * 7000003)) - 1409529600000) / 10.0) AS BIGINT) * 16777216 AS s FROM idx)
+    SELECT topic, vp, window_start, greatest(s, coalesce(frontier, s)) AS bound FROM b"""
+)
+def fast_bound(spark, sf):
+    s = index(spark, sf).select(
+        "topic", "vp", "window_start", (F.col("window_start") * 1000 + F.col("vp") * 7000003).alias("coverage_floor_ms"), F.when(F.col("vp") % 2 == 0, F.col("snowflake_id") + 5).alias("frontier")
+    )
+    return reader.fast_bound(s, NOW_MS, 15_010).select("topic", "vp", "window_start", "bound")
+
+
+@register(
+    f"""WITH {_IDX}, s AS (SELECT topic, vp, window_start, CASE vp % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'recovering' ELSE 'fast' END AS mode, record_count > 2 AS deferred FROM idx),
+    t AS (SELECT *, CASE WHEN deferred THEN window_start ELSE window_start + 21600 END AS nx FROM s), u AS (SELECT *, CASE WHEN (mode = 'fresh' AND NOT deferred) OR (mode = 'recovering' AND nx > 1706292000) THEN 'fast' ELSE mode END AS new_mode FROM t)
+    SELECT topic, vp, window_start, new_mode, CASE WHEN new_mode <> 'fast' THEN nx END AS new_window FROM u"""
+)
+def reader_transitions(spark, sf):
+    kind = F.element_at(F.array(F.lit("fresh"), F.lit("recovering"), F.lit("fast")), F.col("vp") % 3 + 1)
+    s = index(spark, sf).select("topic", "vp", F.col("window_start").alias("scanned_window"), kind.alias("mode"), (F.col("record_count") > 2).alias("deferred"), F.lit(1706292000).cast("long").alias("cutover_window"))
+    return reader.after_pass(s, WINDOW_S).select("topic", "vp", F.col("scanned_window").alias("window_start"), "new_mode", "new_window")
+
+
+_SEALS = _BND + """, pa AS (SELECT topic, vp, window_start, CASE WHEN (vp + window_start // 21600) % 5 <> 0 THEN snowflake_id + vp END AS sealed_before FROM idx),
+  se AS (SELECT topic, window_start, min(least) AS sealed_before, count(*) FILTER (WHERE sealed_before IS NULL AND (min_snowflake IS NULL OR min_snowflake < least)) = 0 AND min(least) IS NOT NULL AS reusable
+         FROM (SELECT pa.*, b.min_snowflake, min(sealed_before) OVER (PARTITION BY pa.topic, window_start) AS least FROM pa LEFT JOIN bnd b ON pa.topic = b.topic AND pa.vp = b.vp) GROUP BY topic, window_start)"""
+
+
+def seals(idx: DataFrame) -> DataFrame:
+    part = F.when((F.col("vp") + F.floor(F.col("window_start") / WINDOW_S)) % 5 != 0, F.col("snowflake_id") + F.col("vp"))
+    return reader.seal(idx.select("topic", "vp", "window_start", part.alias("sealed_before")), bounds(idx))
+
+
+@register(f"WITH {_SEALS} SELECT topic, window_start, sealed_before, reusable FROM se")
+def metadata_seal(spark, sf):
+    return seals(index(spark, sf))
+
+
+@register(
+    f"""WITH {_SEALS} SELECT topic, vp, window_start, snowflake_id FROM idx LEFT JOIN (SELECT topic, window_start, sealed_before FROM se WHERE reusable) s USING (topic, window_start)
+    WHERE sealed_before IS NULL OR snowflake_id >= sealed_before OR (snowflake_id < sealed_before AND vp % 2 = 0)"""
+)
+def cached_merge(spark, sf):
+    i = index(spark, sf).select("topic", "vp", "window_start", "snowflake_id")
+    return reader.merged(i.where("vp % 2 = 0"), i, seals(index(spark, sf)).where("reusable").select("topic", "window_start", "sealed_before"))
+
+
+@register(f"WITH {_LEASES}, {_PLAN} SELECT topic, vp, 'added' AS change FROM plan WHERE (topic, vp) NOT IN (SELECT topic, vp FROM leases) UNION ALL SELECT topic, vp, 'removed' FROM leases WHERE (topic, vp) NOT IN (SELECT topic, vp FROM plan)")
+def membership_delta(spark, sf):
+    return reader.membership_delta(leases(spark, sf), plan(spark, sf))
+
+
+@register(
+    f"""WITH {_BND} SELECT topic, vp, window_start, snowflake_id FROM (SELECT idx.topic, idx.vp, window_start, snowflake_id, row_number() OVER (PARTITION BY idx.topic, window_start ORDER BY snowflake_id, idx.vp) AS r
+    FROM idx JOIN bnd b ON idx.topic = b.topic AND idx.vp = b.vp WHERE min_snowflake IS NULL OR snowflake_id >= min_snowflake) WHERE r <= 4"""
+)
+def response_projection(spark, sf):
+    i = index(spark, sf)
+    return reader.response_projection(i, bounds(i), 4).select("topic", "vp", "window_start", "snowflake_id")
+
+
+@register(
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unaligned_window' WHEN event_id % 5 = 0 THEN 'one_coverage_needed' WHEN user_id % 11 = 0 THEN 'partition_twice' WHEN user_id >= 100 THEN 'invalid_partition' END AS violation FROM events"""
+)
+def request_validation(spark, sf):
+    e, ask = table(spark, sf, "events"), F.array(F.col("user_id"), F.when(F.col("user_id") % 11 == 0, F.col("user_id")).otherwise((F.col("user_id") + 1) % 100))
+    q = e.select(
+        "event_id",
+        (F.lit(300) * F.col("event_id") + (F.col("event_id") % 7 == 0).cast("int")).alias("window_start"),
+        F.when(F.col("event_id") % 2 == 0, ask).alias("tail"),
+        F.when((F.col("event_id") % 2 != 0) | (F.col("event_id") % 5 == 0), ask).alias("full"),
+        F.lit(100).alias("partitions"),
+    )
+    q = q.withColumn("full", F.when((F.col("event_id") % 5 == 0) & (F.col("event_id") % 2 != 0), F.lit(None)).otherwise(F.col("full")))
+    return reader.request_violation(q, 300).select("event_id", "violation")
+
+
 # What SQL can't say: tests hold these against golden values and invariants
 
 
@@ -590,6 +771,14 @@ def micro_batches(spark, sf):
     return out.groupBy("topic", "vp", "window_start", "batch").agg(F.count(F.lit(1)).alias("records"), F.sum("payload_bytes").cast("long").alias("payload_bytes"))
 
 
+@register()
+def broker_groups(spark, sf):
+    sizes = F.transform(F.sort_array(F.collect_list(F.struct("offset", "payload_bytes"))), lambda x: x["payload_bytes"] + 12)
+    r = event_records(spark, sf).groupBy("topic", "vp", "window_start").agg(sizes.alias("sizes"))
+    pos = (F.col("window_start") * 10 + F.col("vp")).alias("pos")
+    return flush.broker_groups(r.select(F.concat(F.lit("b"), F.pmod(F.xxhash64("topic", "vp"), F.lit(3))).alias("broker"), (pos * 10 + F.length("topic")).alias("pos"), "sizes"), 200)
+
+
 @register()
 def segment_packing(spark, sf):
     return control.pack_segments(index(spark, sf).withColumn("encoded_bytes", F.col("byte_end") - F.col("byte_start")), 64)
