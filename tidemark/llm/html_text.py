@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,12 +76,14 @@ class Block:
         self.text, self.words, self.linked, self.says, self.kind, self.label = text, words, linked, says, kind, label
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, labelled: bool = False) -> list[Block]:
+    """Blocks in order. labelled: <x-label 0> and <x-label 1> tell the label of what follows (training pages only)."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     says = label = 0
     kind = "body"
 
@@ -104,12 +107,11 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(t.split())
 
-    at = 0
+    at, last = 0, page.rfind(">")
     while True:
         m = None
-        start = page.find("<", at)
-        look = start
-        while look >= 0 and not (m := _TAG.match(page, look)):
+        look = page.find("<", at)
+        while 0 <= look < last and not (m := _TAG.match(page, look)):
             look = page.find("<", look + 1)
         if m is None:
             text(at, len(page))
@@ -138,29 +140,33 @@ def blocks(page: str) -> list[Block]:
             if name in ("br", "td", "th", "input", "img"):
                 parts.append(" ")
             continue
-        if name == "x-label":
+        if labelled and name == "x-label":
             end()
-            label = int(attributes.strip(" =\"'/") or 0)
+            label = int(attributes)
             continue
         end()
         in_link = 0
         if closes:
             kind = "body"
-            if name in _BOXES and any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if name in _BOXES and opened[name]:
+                top = ""
+                while top != name:
+                    top, _ = stack.pop()
+                    opened[top] -= 1
                 says = stack[-1][1] if stack else 0
         else:
             kind = name
             if name in _BOXES:
-                if name == "body":
+                if name == "body" and opened["head"]:
                     stack = [x for x in stack if x[0] != "head"]
+                    opened["head"] = 0
                     says = stack[-1][1] if stack else 0
                 own = _said(name, attributes)
                 if says & _BIT["article"] and own == _BIT["header"]:
                     own = 0  # the heading of an article
                 says |= own
                 stack.append((name, says))
+                opened[name] += 1
             elif name == "title":
                 says |= _BIT["head"]
         if name == "title" and closes:
@@ -228,7 +234,7 @@ class Tree:
 def model() -> Tree:
     x, y = [], []
     for page in pages():
-        found = blocks("".join(f"<x-label {label}>{fragment}" for label, fragment in page))
+        found = blocks("".join(f"<x-label {label}>{fragment}" for label, fragment in page), labelled=True)
         x.append(table(found))
         y += [b.label for b in found]
     return Tree(np.concatenate(x), np.array(y, float))
