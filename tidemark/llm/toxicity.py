@@ -188,14 +188,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 60
 
 def _distinct(texts: list[bytes]) -> list[int]:
     """Places of texts that aren't near copies of one before: by two least hashes of word triples."""
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    offs = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    offs[-1] -= 1
-    starts, ends, first = bytesoup.word_spans(data, offs)
-    grams, begin = bytesoup.grams(bytesoup.word_hashes(data, starts, ends), first, 3)
     seen, out = set(), []
-    for k in range(len(texts)):
-        g = grams[begin[k] : begin[k + 1]]
+    for k, text in enumerate(texts):
+        data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        starts, ends, first = bytesoup.word_spans(data, offs)
+        g, _ = bytesoup.grams(bytesoup.word_hashes(data, starts, ends), first, 3)
         own = {(s, int((g * np.uint64(m)).min())) for s, m in enumerate((1, 0x9E3779B97F4A7C15))} if len(g) else set()
         if not own & seen:
             out.append(k)
