@@ -323,3 +323,22 @@ def test_reader_batch_form(spark):
     df = spark.createDataFrame(rows, "topic string, vp int, window_start long, seq_start long, seq_end long")
     got = read_batch(df, 10, 100, -1).orderBy("vp", "deliver_from").collect()
     assert [(r.vp, r.deliver_from, r.seq_end, r.gap) for r in got] == [(0, 0, 9, 0), (0, 10, 19, 0), (0, 20, 29, 0), (1, 3, 4, 3)]
+
+
+def test_store(spark, tmp_path):
+    from tidemark.sources import store
+
+    rows = [("t", v, w, w // 300 * 4 + k, k, f"{v}-{w}-{k}".encode()) for v in (0, 1) for w in (0, 300, 600) for k in range(4)]
+    records = spark.createDataFrame(rows, "topic string, vp int, window_start long, offset long, event_ts_ms long, payload binary")
+    store.publish(records, str(tmp_path))
+    found = store.load_index(spark, str(tmp_path), "t", [300, 600], 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(topic" in plan and "GreaterThanOrEqual(snowflake_id,1)" in plan
+    assert sorted((r.vp, r.window_start, r.seq_start, r.seq_end) for r in found.collect()) == [(v, w, w // 300 * 4, w // 300 * 4 + 3) for v in (0, 1) for w in (300, 600)]
+    back = store.read(spark, str(tmp_path), found)
+    assert sorted((r.vp, r.offset, bytes(r.payload)) for r in back.collect()) == sorted((r[1], r[3], r[5]) for r in rows if r[2])
+    assert scan.lost(found.withColumn("blob_key", F.concat("blob_key", F.lit("x"))), store.load_blobs(spark, str(tmp_path))).count() == 4
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.bin").write_bytes(b"12345")
+    (tmp_path / "raw" / "b.bin").write_bytes(b"123456")
+    assert [bytes(r.content) for r in store.whole_objects(spark, str(tmp_path / "raw"), 5).collect()] == [b"12345"]
