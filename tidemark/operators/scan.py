@@ -55,8 +55,11 @@ def visibility(index: DataFrame, cutoff_ms: int) -> DataFrame:
     return index.withColumn("visible", F.col("published_ms") <= cutoff_ms)
 
 
-def capacity_prefix(batches: DataFrame, capacity: int, by: list[str], order: list[str]) -> DataFrame:
-    """Adds admitted: in order, all before the first that doesn't fit; the very first fits whatever its size."""
+def capacity_prefix(batches: DataFrame, capacity: int | Column, by: list[str], order: list[str]) -> DataFrame:
+    """Adds admitted: in order, all before the first that doesn't fit; the very first fits whatever its size.
+
+    A capacity may be a column that is the same for all rows of a `by`.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     upto = F.sum("payload_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return batches.withColumn("admitted", (upto <= capacity) | (F.row_number().over(w) == 1))

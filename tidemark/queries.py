@@ -276,11 +276,7 @@ def visibility_deferred(spark, sf):
     (SELECT *, sum(payload_bytes) OVER (PARTITION BY topic, vp ORDER BY window_start) AS u, row_number() OVER (PARTITION BY topic, vp ORDER BY window_start) AS n FROM idx)"""
 )
 def capacity_prefix(spark, sf):
-    i = index(spark, sf).withColumn("room", 15 + 60 * F.col("vp"))
-    parts = [scan.capacity_prefix(i.where(F.col("vp") == k), 15 + 60 * k, ["topic", "vp"], ["window_start"]) for k in range(PARTITIONS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = scan.capacity_prefix(index(spark, sf), 15 + 60 * F.col("vp"), ["topic", "vp"], ["window_start"])
     return out.select("topic", "vp", "window_start", "payload_bytes", "admitted")
 
 
