@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -313,6 +314,39 @@ def test_licences(spark):
     assert (got[4].ids, got[4].rules, got[4].licenses) == ([], [], [])
 
 
+def test_licences_wrapped(spark):
+    def wrapped(ids, width, sign):
+        paragraphs = [textwrap.wrap(license_rules.SENTENCES[i][0], width) for i in ids]
+        return f"\n{sign}\n".join("\n".join(f"{sign}  {line}" for line in p) for p in paragraphs)
+
+    full = {name: ids for name, _, ids in license_rules.RULES if name in ("mit-full", "apache-full", "bsd-3-full", "isc", "gpl-3-full", "gpl-2-full", "mpl-full")}
+    cases = [(name, ids, width, sign) for name, ids in full.items() for width, sign in ((70, ""), (76, " *"), (40, "#"), (79, "//"))]
+    rows = [(k, "Code here\n\nCopyright 2020 me\n" + wrapped(ids, width, sign) + "\nmore code", "a") for k, (_, ids, width, sign) in enumerate(cases)]
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");\r
+ * you may not use this file except in compliance with the License.\r
+ * You may obtain a copy of the License at\r
+ *\r
+ *     http://www.apache.org/licenses/LICENSE-2.0\r
+ *\r
+ * Unless required by applicable law or agreed to in writing, software\r
+ * distributed under the License is distributed on an "AS IS" BASIS,\r
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\r
+ * See the License for the specific language governing permissions and\r
+ * limitations under the License.\r
+ */"""
+    gpl = """This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    rows += [(100, apache, "a"), (101, gpl, "a"), (102, "Licensed under the\n\nMIT License.", "a"), (103, "The MIT License\n(MIT)\nMIT License\nnot licensed under the\nMIT License.", "a")]
+    got = {r.doc_id: r for r in license_rules.scan(docs_of(spark, rows)).collect()}
+    for k, (name, ids, _, _) in enumerate(cases):
+        assert (got[k].ids, got[k].rules) == (list(ids), [name]), cases[k]
+    assert (got[100].rules, got[101].ids) == (["apache-full"], ["gpl-hope", "gpl-see"])
+    assert (got[102].ids, got[103].ids) == (["mit-name"], ["mit-name", "mit-name", "mit-name"])
+
+
 def test_licences_edges(spark):
     got = license_rules.scan(docs_of(spark, EDGES))
     assert got.count() == len(EDGES) and got.agg(F.sum("n_sentences")).first()[0] == 0

@@ -1,11 +1,17 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is split into sentences (at line breaks, and at full stops, exclamation and question marks
-before white space) and normalised: lower case, everything but a-z and 0-9 one space. Known
-sentences (``license_table``, a fixed table, so its broadcast is bounded) are looked up in the
-same scan; no sentence is shuffled unless it is known. The identifiers of a document's known
-sentences, in order, are matched against the rules in order: a rule takes all runs of its
-identifiers that no rule before it took. What stands between known sentences doesn't matter.
+A text is normalised: lower case, everything but a-z, 0-9 and line breaks one space (so comment
+signs at line starts go), none of it beside a line break. A sentence begins at a line's start or
+after a sentence's end (full stops, exclamation and question marks before white space; blank
+lines) and ends likewise; single line breaks within it stand for spaces, so sentences may be
+wrapped at any column. Known sentences (``license_table``, a fixed table) are the branches of one
+regular expression, longest first, so of two that begin alike the longer is found, and of two that
+overlap the earlier. No row is shuffled. The identifiers of a document's known sentences, in
+order, are matched against the rules in order: a rule takes all runs of its identifiers that no
+rule before it took. What stands between known sentences doesn't matter.
+
+Comment signs that are words (dnl, REM) stay, so sentences after them aren't found; nor are known
+sentences within a line, without a sentence's end before and after.
 
 Defined results: null and empty texts have no sentences. Repeated rows each give a row; null ids
 are kept. Documents without known sentences give empty lists. Extra columns are ignored.
@@ -18,7 +24,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
 from tidemark.llm.license_table import RULES, SENTENCES
 
 _END, _OTHER = r"[.!?]+(\s+|$)", r"[^a-z0-9\n]+"
@@ -36,25 +41,21 @@ def scan(docs: DataFrame) -> DataFrame:
     ids: known identifiers in order; rules: those that matched, in the rules' order; licenses:
     theirs, each once, in that order. th is the hash of the text.
     """
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(known(), "s string, id string"))
-    parts = F.split(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _END, "\n"), _OTHER, " "), "\n")
-    head = F.array(F.lit(None).cast("string"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.concat(head, parts)).alias("at", "s")).withColumn("s", F.trim("s"))
-    rows = cut(rows.join(table, "s", "left").where("s is null or id is not null").select("doc_id", "th", "at", "id"))
-    found = rows.where("id is not null").distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("f"))
-    found = found.select("doc_id", "th", F.transform("f", lambda x: x["id"]).alias("ids"))
+    names = dict(known())
+    text = F.concat(F.lit("\n"), F.lower(F.coalesce("text", F.lit(""))), F.lit("\n"))
+    text = F.regexp_replace(F.regexp_replace(text, _END, "\n\n"), _OTHER, " ")
+    text = F.concat(F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")), F.lit("\n"))
+    any_of = "|".join(s.replace(" ", "[ \n]") for s in sorted(names, key=len, reverse=True))
+    ids = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), F.regexp_extract_all(text, F.lit(f"\n({any_of})(?=\n)"), F.lit(1)).alias("ids"))
+    found = found.withColumn("ids", F.transform("ids", lambda s: F.element_at(ids, F.translate(s, "\n", " "))))
     found = found.withColumn("left", F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|")))
-    for k, (_, _, ids) in enumerate(RULES):
-        run = "".join(f"|{i}|" for i in ids)
+    for k, (_, _, run) in enumerate(RULES):
+        run = "".join(f"|{i}|" for i in run)
         found = found.withColumn(f"r{k}", F.contains("left", F.lit(run))).withColumn("left", F.replace("left", F.lit(run), F.lit("||")))
-    names = F.array_compact(F.array(*[F.when(F.col(f"r{k}"), F.lit(name)) for k, (name, _, _) in enumerate(RULES)]))
+    rules = F.array_compact(F.array(*[F.when(F.col(f"r{k}"), F.lit(name)) for k, (name, _, _) in enumerate(RULES)]))
     spdx = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"r{k}"), F.lit(spdx)) for k, (_, spdx, _) in enumerate(RULES)])))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "ids", names.alias("rules"), spdx.alias("licenses"))
-    none = F.array().cast("array<string>")
-    out = rows.where("id is null").select("doc_id", "th").join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
-    out = out.select("doc_id", "th", *[F.coalesce(c, none).alias(c) for c in ("ids", "rules", "licenses")])
-    return out.withColumn("n_sentences", F.size("ids").cast("long"))
+    return found.select("doc_id", "th", "ids", rules.alias("rules"), spdx.alias("licenses"), F.size("ids").cast("long").alias("n_sentences"))
 
 
 def sql() -> str:
