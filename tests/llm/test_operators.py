@@ -98,6 +98,22 @@ def test_line_dedup(spark):
     assert line_templates.dedup(docs_of(spark, rows), keep_first=False).where("doc_id = 10").first().clean_text == ""
 
 
+def test_line_dedup_leaf_of_several_templates(spark):
+    lead = "2024-01-02 INFO worker: then "
+    bodies = ["took one more new job {} from {}", "sent its {} reply back to owner {}", "never saw what the {} host {} did", "lost {} links and all of {} today"]
+    assert len({len((lead + b).split()) for b in bodies}) == 1
+
+    def logs(weights):
+        text = [b for b, w in zip(bodies, weights, strict=False) for _ in range(w)]
+        return [(k, lead + b.format(f"u{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'x' * (k // 26)}", f"v{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'y' * (k // 26)}"), "a") for k, b in enumerate(text)]
+
+    for weights in ((6, 4), (4, 4, 4), (20, 3, 2), (3, 3, 3, 3)):
+        got = line_templates.dedup(docs_of(spark, logs(weights))).agg(F.sum("n_recurring"), F.sum("n_dropped")).first()
+        assert tuple(got) == (sum(weights), sum(weights) - len(weights)), weights
+    alone = [(k, "We all know the " + " ".join(random.Random(k).sample([c * 3 for c in "abcdefghijklmnopqrstuvwxyz"], 8)), "a") for k in range(12)]
+    assert line_templates.dedup(docs_of(spark, alone)).agg(F.sum("n_recurring")).first()[0] == 0
+
+
 def test_line_dedup_edges(spark):
     got = line_templates.dedup(docs_of(spark, EDGES))
     assert got.count() == len(EDGES) and {"score", "cls", "shard"} <= set(got.columns)

@@ -7,8 +7,15 @@ lines of at least `min_docs` documents go on, so random lines leave after one sl
 Templates: in a leaf, each place's most frequent token (each distinct line counts with its number
 of documents; of equals the least) is fixed if it has at least half of the documents, else it is a
 wildcard. Lines that agree with the leaf's template in at least `similarity` of all places belong
-to it; each other line is a template of its own. A template in lines of `min_docs` documents
-recurs.
+to it. The others go on as a group of their own, in which a token is fixed if it has more than
+half, until each line has a template; a template of one line is that line. If a group's template
+takes less than 0.3 of its documents, several templates share it, and the others are split by
+their tokens at one place: of those where no token has half, the one with the fewest and heaviest
+tokens (greatest sum of squares), else the one with the least majority. A group loses at least
+about a fifth of its documents that way, so rounds grow with the logarithm of the largest leaf. A
+line whose token at such a place is a field's rare value may stay a template of its own.
+several=False ends after the first template of each leaf. A template in lines of `min_docs`
+documents recurs.
 
 Recurring templates are dropped from all documents but the first (least id, then line), so that
 no content is lost altogether; keep_first=False drops it there too. Lines of fewer than
@@ -25,6 +32,8 @@ least. Extra columns stay with dedup(); a column that has an added name is repla
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +55,34 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return rows.select("doc_id", "th", "line", "text", leaf.alias("leaf"), F.xxhash64("text").alias("same"))
 
 
-def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity: float = 0.7, min_docs: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, th, line, leaf, own (0: the leaf's template, else the line's hash), first: lines of recurring templates.
+def _named(distinct: DataFrame, similarity: float, several: bool) -> DataFrame:
+    """leaf, same, own for the distinct lines (leaf, same, text, docs) of mixed leaves. own: 0 for the leaf's first template."""
+    group, words = ["leaf", "part"], F.split("text", " ")
+    done, rest = [], distinct.withColumn("part", F.lit(0).cast("long"))
+    while True:
+        tokens = rest.select(*group, "docs", F.posexplode(words).alias("place", "token"))
+        counts = tokens.groupBy(*group, "place", "token").agg(F.sum("docs").alias("c"))
+        best = F.min(F.struct((-F.col("c")).alias("c"), "token")).alias("best")
+        places = counts.groupBy(*group, "place").agg(best, F.sum("c").alias("all"), F.sum(F.col("c").cast("double") * F.col("c")).alias("even"))
+        twice = -2 * F.col("best.c")
+        fixed = F.when(twice > F.col("all") if done else twice >= F.col("all"), F.col("best.token"))
+        open_first = F.when(twice < F.col("all"), F.struct(F.lit(0).alias("k"), (-F.col("even")).alias("v"), "place"))
+        at = F.min(F.coalesce(open_first, F.struct(F.lit(1).alias("k"), (twice / 2.0).alias("v"), "place")))
+        # a place of the template each: bounded by the line
+        template = places.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("place", fixed.alias("token")))).alias("template"), at["place"].alias("at"))
+        agree = F.size(F.filter(F.zip_with(words, F.col("template.token"), lambda x, y: x == y), lambda same: same))
+        rest = cut(rest.join(template, group).withColumn("fits", agree >= similarity * F.size(words)).drop("template"))
+        own = F.col("part") if several else F.when(F.col("fits"), F.col("part")).otherwise(F.col("same"))
+        done.append(rest.where("fits" if several else "true").select("leaf", "same", own.alias("own")))
+        if not several or rest.where("not fits").isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        share = rest.groupBy(*group).agg(F.sum(F.when(F.col("fits"), F.col("docs")).otherwise(0)).alias("fit"), F.sum("docs").alias("all"))
+        split = F.when(F.col("fit") < 0.3 * F.col("all"), F.get(words, F.col("at")))
+        rest = rest.where("not fits").join(share.where("fit < all"), group).select("leaf", "same", "text", "docs", F.xxhash64("part", F.lit(len(done)), split).alias("part"))
+
+
+def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity: float = 0.7, min_docs: int = 2, broadcast_rows: int = 2_000_000, several: bool = True) -> DataFrame:
+    """doc_id, th, line, leaf, own (0: the leaf's first template, else another of it), first: lines of recurring templates.
 
     first: whether it is the template's first line in its first document.
     """
@@ -62,15 +97,7 @@ def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity:
     mixed = lines.where("mixed")
     per_doc = mixed.groupBy("leaf", "same", "doc_id", "th").agg(F.first("text").alias("text"))
     distinct = cut(per_doc.groupBy("leaf", "same").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("docs")))
-    tokens = distinct.select("leaf", "docs", F.posexplode(F.split("text", " ")).alias("place", "token"))
-    counts = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("c"))
-    best = counts.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("c")).alias("c"), "token")).alias("best"), F.sum("c").alias("all"))
-    fixed = best.where(-2 * F.col("best.c") >= F.col("all")).select("leaf", F.struct("place", "best.token").alias("x"))
-    template = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list("x")).alias("template"))  # a place of the template each: bounded by the line
-    words = F.split("text", " ")
-    agree = F.aggregate(F.transform(words, lambda t, i: (F.element_at("template", i) == t).cast("int")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    own = F.when(agree >= similarity * F.size(words), F.lit(0).cast("long")).otherwise(F.col("same"))
-    named = distinct.join(template, "leaf", "left").select("leaf", "same", F.coalesce(own, F.col("same")).alias("own"))
+    named = _named(distinct, similarity, several)
     place = ["doc_id", "th", "line", "leaf"]
     alone = lines.where("not mixed").select(*place, F.lit(0).cast("long").alias("own"))
     marked = cut(mixed.select(*place, "same").join(named, ["leaf", "same"]).select(*place, "own").unionByName(alone).distinct())
