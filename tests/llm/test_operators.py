@@ -114,6 +114,14 @@ def test_line_dedup_leaf_of_several_templates(spark):
     assert line_templates.dedup(docs_of(spark, alone)).agg(F.sum("n_recurring")).first()[0] == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rows = [(k, f"All rights reserved.\n\nPage {k}\n\nword{'abcdef'[k]} alone" + ("\nSeen twice" if k < 2 else ""), "a") for k in range(6)]
+    got = {r.doc_id: r for r in line_templates.dedup(docs_of(spark, rows), short_docs=3).collect()}
+    assert [got[k].n_dropped for k in range(6)] == [0, 2, 2, 2, 2, 2] and got[0].n_recurring == 2
+    assert got[1].clean_text == "\n\nwordb alone\nSeen twice"
+    assert line_templates.dedup(docs_of(spark, rows)).agg(F.sum("n_recurring")).first()[0] == 0
+
+
 def test_line_dedup_edges(spark):
     got = line_templates.dedup(docs_of(spark, EDGES))
     assert got.count() == len(EDGES) and {"score", "cls", "shard"} <= set(got.columns)

@@ -19,7 +19,8 @@ documents recurs.
 
 Recurring templates are dropped from all documents but the first (least id, then line), so that
 no content is lost altogether; keep_first=False drops it there too. Lines of fewer than
-`min_tokens` tokens stay: they recur by chance.
+`min_tokens` tokens recur by chance, so they stay unless `short_docs` is given: then those that are
+equal (digits aside, no wildcards) in that many documents recur too.
 
 Hot leaves and templates are aggregated before each shuffle, by (leaf, place, token) or (template,
 document); no window or list gathers a template's lines in one task. The set of leaves is
@@ -42,17 +43,22 @@ from tidemark.llm.common import cut
 ADDED = ["n_lines", "n_recurring", "n_dropped", "clean_text"]
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, th, line, text, leaf, same: all lines of enough tokens, normalised. same: hash of the whole line."""
+def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool) -> DataFrame:
+    """doc_id, th, line, text, leaf, same: all lines of enough tokens, normalised. same: hash of the whole line.
+
+    short: those of fewer tokens too, each in a leaf of its equals, with a column `short`.
+    """
     text = F.col("text")
     odd = [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]  # most texts need no replacing, and searching is cheap
     text = F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
     text = F.when(F.rlike(text, F.lit("[0123456789]")), F.regexp_replace(text, "[0123456789]+", "0")).otherwise(text)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
     rows = rows.withColumn("text", F.trim("text"))
-    rows = rows.withColumn("n", F.size(F.split("text", " "))).where(F.col("n") >= min_tokens)
-    leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
-    return rows.select("doc_id", "th", "line", "text", leaf.alias("leaf"), F.xxhash64("text").alias("same"))
+    rows = rows.withColumn("n", F.size(F.split("text", " "))).where((F.col("text") != "") if short else (F.col("n") >= min_tokens))
+    leaf, few = F.xxhash64("n", F.substring_index("text", " ", depth)), F.col("n") < min_tokens
+    if not short:
+        return rows.select("doc_id", "th", "line", "text", leaf.alias("leaf"), F.xxhash64("text").alias("same"))
+    return rows.select("doc_id", "th", "line", "text", F.when(few, F.xxhash64("n", "text")).otherwise(leaf).alias("leaf"), F.xxhash64("text").alias("same"), few.alias("short"))
 
 
 def _named(distinct: DataFrame, similarity: float, several: bool) -> DataFrame:
@@ -81,15 +87,17 @@ def _named(distinct: DataFrame, similarity: float, several: bool) -> DataFrame:
         rest = rest.where("not fits").join(share.where("fit < all"), group).select("leaf", "same", "text", "docs", F.xxhash64("part", F.lit(len(done)), split).alias("part"))
 
 
-def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity: float = 0.7, min_docs: int = 2, broadcast_rows: int = 2_000_000, several: bool = True) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity: float = 0.7, min_docs: int = 2, broadcast_rows: int = 2_000_000, several: bool = True, short_docs: int | None = None) -> DataFrame:
     """doc_id, th, line, leaf, own (0: the leaf's first template, else another of it), first: lines of recurring templates.
 
     first: whether it is the template's first line in its first document.
     """
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs, depth, min_tokens)
-    per_doc = lines.groupBy("leaf", "doc_id", "th").agg(F.min("same").alias("a"), F.max("same").alias("b"))
-    leaves = per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("a") != F.max("b")).alias("mixed")).where(F.col("docs") >= min_docs)
+    short = short_docs is not None
+    lines = _lines(docs, depth, min_tokens, short)
+    need = F.when(F.first("short"), short_docs).otherwise(min_docs) if short else F.lit(min_docs)
+    per_doc = lines.groupBy("leaf", "doc_id", "th").agg(F.min("same").alias("a"), F.max("same").alias("b"), *([F.first("short").alias("short")] if short else []))
+    leaves = per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("a") != F.max("b")).alias("mixed"), need.alias("need")).where("docs >= need")
     leaves = cut(leaves.select("leaf", "mixed"))
     lines = lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_rows else leaves, "leaf")
     # a leaf whose lines are all equal is its own template: only the text of the others is needed
