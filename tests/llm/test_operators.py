@@ -495,6 +495,13 @@ def test_personal_data_edges(spark):
     assert pii_crf.digest(pii_crf.find(docs_of(spark, [(1, "😀é me@x.org", "a")]))).first().spans == "email:3:11"
 
 
+def test_personal_data_rows_read(monkeypatch):
+    data, offs = np.frombuffer(b"no sign herea@b.org", np.uint8), np.array([0, 12, 19])
+    assert pii_crf.model().skips and pii_crf._to_read(data, offs).tolist() == [1]
+    monkeypatch.setattr(pii_crf.model(), "skips", False)
+    assert pii_crf._to_read(data, offs).tolist() == [0, 1]
+
+
 # 9 n-gram join
 
 

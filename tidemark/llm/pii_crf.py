@@ -267,6 +267,15 @@ _BYTES = np.zeros(256, bool)
 _BYTES[[ord(c) for c in "0123456789@+(["]] = True
 
 
+def _to_read(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows that can hold a span: those with a byte that every one needs, or all if the model's weights don't bear that out."""
+    if not model().skips:
+        return np.arange(len(offs) - 1)
+    hot = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_BYTES[data], out=hot[1:])
+    return np.flatnonzero(hot[offs[1:]] > hot[offs[:-1]])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (start, end, kind, base) by start and kind, for every row of docs (doc_id, text)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())]))
@@ -276,9 +285,7 @@ def find(docs: DataFrame) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             data, offs = bytesoup.buffers(column)
-            hot = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(_BYTES[data], out=hot[1:])
-            rows = np.flatnonzero(hot[offs[1:]] > hot[offs[:-1]])
+            rows = _to_read(data, offs)
             spans: list[list[dict]] = [[] for _ in range(len(column))]
             for lo in range(0, len(rows), 500):
                 part = rows[lo : lo + 500]
