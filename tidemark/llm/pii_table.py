@@ -79,4 +79,13 @@ ratio 16:9 and 4x4 and mp3 and h264
 0.5 + 0.25 = 0.75 as shown
 COVID-19 and F-16 and A4 and 3D
 user_name and @mention and #tag42 and a@b
+don't say we've lost the e-mail of foo_bar here
+see host.example.com or www.example.org for more
+phone phone foo_bar and don't host.example.com again
+the well-known e-mail, the phone and the so-called card
+it's o'clock_now at the end-of-day and a.b.c too
+l'an d'un c'est qu'il n'a pas d'e-mail
+write foo_bar don't host.example.com don't e-mail at once
+e-mail [email|jo.smith [at] example [dot] net] don't wait
+either/or and/or his/her yes/no n/a
 """
