@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytesoup, cap_filters, hilbert, html_text, jaccard_join, license_rules, line_templates, mixing, pii_crf, registry, toxicity, winnow
+from tidemark.llm import bytesoup, cap_filters, hilbert, html_table, html_text, jaccard_join, license_rules, line_templates, mixing, pii_crf, registry, toxicity, winnow
 from tidemark.llm.common import connected_components, global_rank, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -609,6 +609,52 @@ def test_pages():
         assert html_text.main_text(text) == want
 
 
+_BODY = "<p>" + "The river rose in the night and by morning it had taken the lower bridge and most of the road to the mill. " * 2 + "</p><p>Nobody was hurt.</p>"
+
+
+def test_pages_names_mislead():
+    want = html_text.main_text(_BODY)
+    assert want.endswith("\nNobody was hurt.")
+    for page in (
+        f"<article class='post has-sidebar'>{_BODY}</article>",
+        f"<body class='login header-fixed'>{_BODY}</body>",
+        f"<div class='content share-box'>{_BODY}</div>",
+        f"<div class='promo-free-layout social'><article>{_BODY}</article></div>",
+        f"<div class=sidebar><div><main>{_BODY}</main></div><nav><a href=/>Home</a></nav></div>",
+        f"<div><a href=1>Home</a> | <a href=2>News</a> | <a href=3>Sport</a></div>{_BODY}<div><a href=4>Terms</a> <a href=5>Privacy</a></div>",
+        f"<nav><a href=/>Home</a></nav>{_BODY}<div class=post-comments><p>First!</p><p>{'I lived by that bridge for forty years. ' * 9}</p></div>",
+        f"<article>{_BODY}</article><section id=comments><article class=comment>{_BODY}</article></section><aside>Most read this month</aside>",
+    ):
+        assert html_text.main_text(page) == want, page
+
+
+def test_pages_elements():
+    want = html_text.main_text(_BODY)
+    for extra in ("<script src=https://x.com/>var a=1;</script>", "<script>a</scripts>b</script>", "<style/>p{}</style>", "<svg><svg><text>x</text></svg>y</svg>", "<template><p>no</p></template>", "<canvas><p>Your browser is old</p></canvas>", "<textarea>a <p>b</textarea>", "<svg/>", "<button>Press", "<select><option>all"):
+        assert html_text.main_text(f"<article>{extra}{_BODY}</article>") == want, extra
+    assert html_text.main_text("<article><p>The sum <math><mi>x</mi></math> is of <object>two</object> parts, as was shown above</p></article>") == "The sum x is of two parts, as was shown above"
+    assert html_text.main_text(f"<p title=it's>It doesn't end there, and so it goes on and on for a while</p>{_BODY}").startswith("It doesn't end there")
+    assert html_text.main_text(f"<a name=top>{_BODY}") == want
+    linked = html_text.blocks("<a href=/x><div>all of this</div> is linked</a><p>this isn't <a href=/y>but this is</p><p>no</p>")
+    assert [(b.words, b.linked) for b in linked] == [(3, 3), (2, 2), (5, 3), (1, 0)]
+    begin = time.time()
+    for part in ("<svg>", "<svg><svg></svg>", "<button>", "<a href=/x><p>", "<div class=ad>", "<head><body>", '<a b=">"', "<a b='", "<!--", "<script>", "<p a='>", "</div>", "<article><div class=ad>", "&amp", "<", "< b"):
+        html_text.main_text("<p>some text</p>" + part * 40_000)
+    assert time.time() - begin < 60
+
+
+def test_pages_tree_on_others():
+    """On pages not used in training: other fragments, combinations and order. And neighbours decide where names don't."""
+    tree = html_text.model()
+    used = [html_text.FEATURES[int(r[0])] for r in tree.rows if r[0] >= 0]
+    assert sum(f.endswith(("before", "after")) for f in used) >= 5 and "words after" in used[:12]
+    made = html_table.pages(600, seed=99)
+    for style, (precision, recall) in enumerate([(0.97, 0.98), (0.97, 0.98), (0.96, 0.97), (0.95, 0.92), (0.97, 0.98)]):
+        x, y = html_text.rows_of(made[style::5])
+        main = tree(x)
+        assert (main & (y > 0.5)).sum() >= precision * main.sum() and (main & (y > 0.5)).sum() >= recall * y.sum(), style
+
+
 def test_pages_query(spark):
     import html
 

@@ -1,80 +1,164 @@
-"""The small labelled table that the block classifier is trained on: pages of labelled fragments.
+"""The small labelled table that the block classifier is trained on, and the pages made of it.
 
-Each page is a row of (label, fragment); label 1 is main text, 0 anything else. The fragments are
-invented; pages combine them by rule, once with elements that say what they are, once with plain
-divisions and class names.
+A row of ROWS is a kind of block: its role, label (1 is main text), how many words, how many of them
+in links, and the element it comes in. Pages combine rows by rule, in five styles: elements that say
+what they are, plain divisions with class names, divisions without names, names that mislead
+(on the page, on boxes around the article, or mixed), and bare text.
 """
 
 from __future__ import annotations
 
-# Fragments of pages.
-PARAGRAPHS = [
-    "The river rose in the night and by morning it had taken the lower bridge, two sheds and most of the road to the mill.",
-    "Nobody was hurt.",
-    "Council members met at noon to talk about repairs, and the mayor said that a ferry would run until the bridge is rebuilt.",
-    "Yes. Again.",
-    "Last year the town spent a third of its budget on flood walls, of which only the first part was ready when the water came; the rest is planned for spring.",
-    "It rained for nine days.",
-    'Engineers from the <a href="/u">university</a> will measure the banks and report in May.',
-    "See the <a href='/map'>map</a>.",
+import random
+
+# Role, label, least and most words, share of words in links, markup (% is the text).
+ROWS = [
+    ("title", 1, 1, 12, 0.0, "<h1>%</h1>"),
+    ("text", 1, 26, 120, 0.0, "<p>%</p>"),
+    ("text", 1, 26, 90, 0.08, "<p>%</p>"),
+    ("text", 1, 9, 25, 0.0, "<p>%</p>"),
+    ("text", 1, 9, 25, 0.3, "<p>%</p>"),
+    ("text", 1, 1, 8, 0.0, "<p>%</p>"),
+    ("text", 1, 4, 60, 0.0, "<p><b>%<br><p>"),
+    ("text", 1, 12, 80, 0.0, "<div>%</div>"),
+    ("text", 1, 3, 12, 1.0, "<p>%</p>"),
+    ("text", 1, 2, 30, 0.0, "<blockquote>%</blockquote>"),
+    ("text", 1, 2, 20, 0.0, "<ul><li>%</li><li>%</li></ul>"),
+    ("alone", 1, 1, 30, 0.0, "%<hr>"),
+    ("part", 1, 1, 8, 0.0, "<h2>%</h2>"),
+    ("menu", 0, 1, 2, 1.0, "<ul><li>%</li><li>%</li><li>%</li><li>%</li></ul>"),
+    ("menu", 0, 1, 3, 1.0, "<ul><li>%</li><li>%</li></ul>"),
+    ("menu", 0, 4, 9, 1.0, "<div>%</div>"),
+    ("menu", 0, 4, 9, 0.8, "<p>%</p>"),
+    ("header", 0, 1, 8, 0.0, "<p>%</p>"),
+    ("header", 0, 1, 4, 1.0, "<div>%</div>"),
+    ("footer", 0, 2, 9, 0.0, "%"),
+    ("footer", 0, 10, 30, 0.0, "<p>%</p>"),
+    ("footer", 0, 3, 12, 0.7, "<p>%</p>"),
+    ("side", 0, 1, 3, 0.0, "<h3>%</h3><ul><li>%</li></ul>"),
+    ("side", 0, 4, 30, 0.0, "<p>%</p>"),
+    ("side", 0, 3, 10, 1.0, "<ul><li>%</li><li>%</li><li>%</li></ul>"),
+    ("notice", 0, 5, 40, 0.1, "%"),
+    ("notice", 0, 3, 12, 0.0, "<p>%</p>"),
+    ("advert", 0, 3, 30, 0.0, "%"),
+    ("advert", 0, 4, 15, 1.0, "<p>%</p>"),
+    ("form", 0, 2, 9, 0.0, "% <input name=q> <button>Go</button>"),
+    ("form", 0, 6, 20, 0.0, "<p>%</p><select><option>all</option></select>"),
+    ("comment", 0, 1, 80, 0.0, "<p>%</p><p>%</p>"),
+    ("comment", 0, 2, 30, 0.0, "<div>%</div><div>%</div><div>%</div>"),
 ]
-HEADINGS = ["Bridge lost in flood", "What comes next", "A short history", "Oats"]
-LINKS = [["Home", "News", "Sport", "Weather", "Contact"], ["World", "Business", "Opinion"], ["Log in", "Register", "Help", "About us", "Terms", "Privacy"], ["/the", "and", "then", "of"]]
-ADVERTS = ["Buy two pairs of boots and get the third for free, only this week at the mill shop.", "Best rates on loans.", "Sponsored: ten tricks for dry cellars", "Nicer lawns in a week."]
-NOTICES = ["We use cookies to make this site work and to count visits. By reading on you accept this.", "This site needs scripts.", "Please turn off your blocker. Thank you."]
-COMMENTS = ["I lived by that bridge for forty years and never saw such water, what a shame for the whole town.", "First!", "anna: they should have built the wall earlier, as everybody said"]
-FOOTERS = ["&copy; 2024 The Mill Post &middot; All rights reserved.", "Printed with care in the valley since 1901, member of the press council.", "Made by hand. Terms apply."]
-SIDES = ["Most read: the lost cat of Mill Lane and other stories that moved our readers this month", "Follow us", "Weather: rain, nine degrees, wind from the west"]
-FORMS = ["Your e-mail address <input name=q> <button>Subscribe</button>", "Search this site <input> <select><option>all</option></select>", "Leave a reply, your address will not be published"]
+# Elements and names of boxes by role, and names that say nothing of the text.
+ELEMENTS = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}
+NAMED = {
+    "menu": ["menu", "main-nav", "breadcrumbs", "navbar", "top-navigation"],
+    "header": ["site-header", "masthead"],
+    "footer": ["footer", "site-footer", "copyright"],
+    "side": ["sidebar", "related-posts", "widget", "share-box", "social"],
+    "notice": ["cookie-notice", "consent", "banner", "disclaimer"],
+    "advert": ["ad", "ads", "banner-ad", "sponsored", "promo-box"],
+    "form": ["newsletter", "search-form", "signup", "login"],
+    "comment": ["comments", "comment-list", "post-comments", "replies"],
+}
+MISLEADING = ["has-sidebar", "header-fixed", "login", "promo-free-layout social", "content share-box", "no-ads", "with-footer", "post related", "story newsletter", "menu-open content", "entry banner"]
+AROUND = ["social", "sidebar", "widget", "promo", "banner", "header", "share-box", "login", "overlay"]
+PASSAGE = "the river rose in the night and by morning it had taken the lower bridge two sheds and most of the road to the mill nobody was hurt"
+
+
+def _block(rng: random.Random, row: tuple) -> str:
+    _, _, least, most, share, markup = row
+    out = markup
+    while "%" in out:
+        n = rng.randint(least, most)
+        words = [rng.choice(PASSAGE.split()) for _ in range(n)]
+        linked = n if share == 1 else round(share * n)
+        if linked:
+            words[:linked] = [f"<a href=/x>{' '.join(words[:linked])}</a>"]
+        out = out.replace("%", " ".join(words), 1)
+    return out
 
 
-for _list in (ADVERTS, NOTICES, COMMENTS, FOOTERS, SIDES, FORMS):
-    _list += [" ".join(_list[:2]), " ".join(_list), " ".join(_list * 3)]
+def _box(rng: random.Random, role: str, style: str, inner: str) -> str:
+    if style == "bare":
+        return f"<div>{inner}</div>"
+    if style == "elements" and role in ELEMENTS:
+        return f"<{ELEMENTS[role]}>{inner}</{ELEMENTS[role]}>"
+    name = rng.choice(NAMED[role])
+    tag = "section" if rng.random() < 0.2 else "div"
+    return f"<{tag} {rng.choice(('class', 'id'))}='{name}'>{inner}</{tag}>"
 
 
-def _menu(links: list[str]) -> str:
-    return "<ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in links) + "</ul>"
+def _article(rng: random.Random, style: str, of: dict[str, list[tuple]]) -> list[tuple[int, str]]:
+    if style in ("elements", "names") and rng.random() < 0.12:  # hardly any text at all
+        return [(1, _block(rng, ("title", 1, 1, 3, 0.0, "<h1>%</h1>"))), (1, _block(rng, of["text"][5]))]
+    out = [(1, _block(rng, rng.choice(of["title"])))] if rng.random() < 0.8 else []
+    for k in range(rng.choice((1, 2, 3, 4, 6, 9))):
+        if k and rng.random() < 0.2:
+            out.append((1, _block(rng, rng.choice(of["part"]))))
+        # the first of a run is a paragraph, then anything; a link alone only within text
+        row = rng.choice(of["text"][:4]) if k == 0 else rng.choice(of["text"])
+        out.append((1, _block(rng, row)))
+        if style != "bare" and rng.random() < 0.15:
+            role = rng.choice(("advert", "side", "form", "notice"))
+            out.append((0, _box(rng, role, style, _block(rng, rng.choice(of[role])))))
+    if out[-1][0] and out[-1][1].startswith("<p><a"):
+        out.append((1, _block(rng, of["text"][1])))
+    return out
 
 
-def _main(k: int, wrap: str, close: str) -> list[tuple[int, str]]:
-    body = [(1, f"{wrap}<h1>{HEADINGS[k % 4]}</h1>")]
-    for j in range(3 + k % 4):
-        body.append((1, f"<p>{PARAGRAPHS[(k + j * 3) % 8]}</p>" if (k + j) % 4 else f"<p><b>{PARAGRAPHS[(k * 5 + j) % 8]}<br><p>"))
-        if (k + j) % 5 == 2:
-            body.append((0, f'<div class="ad">{ADVERTS[(k + j) % 7]}</div>'))
-        if (k + j) % 5 == 3:
-            body.append((1, f"<h2>{HEADINGS[(k + j) % 4]}</h2><ul><li>{PARAGRAPHS[1]}</li><li>{PARAGRAPHS[(k + j) % 8]}</li></ul>"))
-        if (k + j) % 6 == 1:
-            body.append((1, "<p><a href='/r'>The full report of the council on the flood walls</a></p>"))
-        if (k + j) % 7 == 4:
-            body.append((0, f"<aside>{SIDES[(k + j) % 6]}</aside>"))
-    return [*body, (1, close)]
+def _opened(rng: random.Random, style: str) -> tuple[str, str, str]:
+    """What opens the article, what closes it, and the page's own names."""
+    tag = rng.choice(("article", "main", "div")) if style in ("elements", "misleading") else "div"
+    name = rng.choice(("", " class='content'", " id='main-content'", " class='post entry'")) if style != "bare" else ""
+    before, after, body = "", "", ""
+    if style == "misleading":
+        wrong = rng.choice(MISLEADING)
+        which = rng.randrange(4)
+        if which == 0:
+            name = f" class='{wrong}'" if tag != "div" else f" class='content {wrong}'"
+        elif which == 1:
+            body = f" class='{wrong}'"
+        elif which == 2:
+            before, after = f"<div class='{wrong}'>", "</div>"
+        else:
+            before, after = f"<div class='{rng.choice(AROUND)}'>", "</div>"
+            if tag == "div":
+                name = ""
+    return f"{before}<{tag}{name}>", f"</{tag}>{after}", body
 
 
-def pages() -> list[list[tuple[int, str]]]:
+def pages(count: int = 1500, seed: int = 11) -> list[list[tuple[int, str]]]:
+    """Pages as lists of (label, fragment)."""
+    rng, of = random.Random(seed), {}
+    for row in ROWS:
+        of.setdefault(row[0], []).append(row)
     out = []
-    for k in range(60):
-        plain = k % 3 == 2
-        title = HEADINGS[k % 4] if k % 2 else " ".join(HEADINGS * (1 + k % 3))
-        menu, foot, note = _menu(LINKS[k % 4]), FOOTERS[k % 6], NOTICES[k % 6]
-        if plain:
-            page = [(0, f'<html><head><title>{title}</title></head><body><div id="top-menu">{menu}</div>'), (0, f'<div class="banner-ad">{ADVERTS[k % 7]}</div>')]
-            page += _main(k, '<div class="content">' if k % 2 else "<div>", "</div>")
-            page += [(0, f'<div class="comments"><p>{COMMENTS[k % 6]}</p><p>{COMMENTS[(k + 1) % 6]}</p></div>'), (0, f'<div class="sidebar"><p>{SIDES[k % 6]}</p>{_menu(LINKS[(k + 1) % 4])}</div>')]
-            page += [(0, f'<div class="newsletter">{FORMS[k % 6]}</div>'), (0, f'<div id="footer">{foot}</div>'), (0, f'<div class="cookie-notice">{note}</div>')]
+    for k in range(count):
+        style = ("elements", "names", "bare", "misleading", "text")[k % 5]
+        if style == "text":
+            menu = [(0, _box(rng, "menu", "elements", _block(rng, rng.choice(of["menu"]))))] if rng.random() < 0.5 else []
+            foot = [(0, _box(rng, "footer", "elements", _block(rng, rng.choice(of["footer"]))))] if rng.random() < 0.5 else []
+            plain = [*of["alone"], *of["alone"], of["text"][5], of["text"][5], of["text"][1], of["text"][3], of["text"][6]]
+            out.append([*menu, *((1, _block(rng, rng.choice(plain))) for _ in range(rng.choice((1, 1, 2, 4)))), *foot])
+            continue
+        opens, closes, body = _opened(rng, style)
+        inner = style if style != "misleading" else rng.choice(("elements", "names"))
+        page = [(0, f"<html><head><title>{_block(rng, of['title'][0])[4:-5]}</title></head><body{body}>")]
+        roles = ["menu", "header", "advert", "notice", "menu"] if style != "bare" else ["menu", "menu", "header"]
+        page += [(0, _box(rng, r, inner, _block(rng, rng.choice(of[r])))) for r in roles if rng.random() < (0.6 if r != "menu" else 0.9)]
+        if style == "bare" and len(page) < 3:  # nothing but a menu tells where such a page's text begins
+            page.append((0, _box(rng, "menu", inner, _block(rng, of["menu"][0]))))
+        if style == "misleading" and rng.random() < 0.5:
+            page, start = page[:1], page[1:]
+            page += [(0, opens), *start, *_article(rng, inner, of), (0, closes)] if "<div" in opens[:4] and opens.count("<") > 1 else [*start, (1, opens), *_article(rng, inner, of), (1, closes)]
         else:
-            page = [(0, f"<html><head><title>{title}</title></head><body>"), (0, f"<header><p>{SIDES[k % 6]}</p></header>"), (0, f"<nav>{menu}</nav>"), (0, f'<div class="ad">{ADVERTS[k % 7]}</div>')]
-            page += _main(k, "<article>" if k % 2 else "<main><article>", "</article>" if k % 2 else "</article></main>")
-            page += [(0, f"<section class=comments><p>{COMMENTS[k % 6]}</p></section>"), (0, f"<aside><p>{SIDES[k % 6]}</p></aside>"), (0, f"<form>{FORMS[k % 6]}</form>")]
-            page += [(0, f"<footer>{foot}</footer>"), (0, f'<div class="consent">{note}</div>')]
-        if k % 4 < 2:  # links that nothing but their density tells from text
-            page.insert(1, (0, f"<div>{_menu(LINKS[(k + 2) % 4])}</div>"))
-            page.append((0, "<div>" + " | ".join(f"<a href=/{x}>{x}</a>" for x in LINKS[(k + 3) % 4]) + "</div>"))
-        if k % 5 == 1:
-            page.insert(-3, (0, f"<div><p>More: <a href=/m>{HEADINGS[k % 4]} and {HEADINGS[(k + 1) % 4]}</a></p></div>"))
+            page += [(1, opens), *_article(rng, inner, of), (1, closes)]
+        roles = ["comment", "side", "form", "menu", "advert", "footer", "notice"] if style != "bare" else ["menu", "side_links", "menu", "footer"]
+        for r in roles:
+            if rng.random() < 0.6:
+                row = rng.choice(of[r]) if r != "side_links" else of["side"][2]
+                if style == "bare" and r == "footer":
+                    row = of["footer"][rng.choice((0, 2))]
+                page += [(0, _box(rng, r if r != "side_links" else "side", inner, _block(rng, row)))]
+                if r == "comment":
+                    page += [(0, _box(rng, r, inner, "".join(_block(rng, rng.choice(of[r])) for _ in range(rng.choice((1, 2, 8))))))]
         out.append(page)
-    for k in range(24):  # bare text, with or without a menu and a footer
-        page = [(0, f"<nav>{_menu(LINKS[k % 4])}</nav>")] if k % 2 else []
-        page += [(1, f"<p>{PARAGRAPHS[(k + j) % 8]}</p>" if k % 4 else PARAGRAPHS[(k + j) % 8] + "<hr>") for j in range(1 + k // 3)]
-        out.append([*page, (0, f"<footer>{FOOTERS[k % 6]}</footer>")] if k % 3 else page)
     return out
