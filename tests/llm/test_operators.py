@@ -373,6 +373,27 @@ GNU General Public License for more details."""
     assert (got[102].ids, got[103].ids) == (["mit-name"], ["mit-name", "mit-name", "mit-name"])
 
 
+def test_licences_whole_entries(spark):
+    """An entry is known by all of its parts: other versions aren't it. And the SQL finds the same as the scan, wrapped or not."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}."
+    mit = [license_rules.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "mit-asis", "mit-liable")]
+    rows = [(101, mpl.format("1.1"), "a"), (102, mpl.format("2.0"), "a"), (103, mpl.format("2.0").replace("v. ", "v.\n"), "a"), (104, "\n\n".join("\n".join(textwrap.wrap(s, 72)) for s in mit), "a")]
+    rows += [(105, "The MIT License\n(MIT)\nMIT License\nLicensed under the\nMIT License.\nAll rights reserved. All rights\nreserved!", "a"), (106, mpl.format("2.0") + " " + mpl.format("2.0.1"), "a"), (107, "Licensed under CC BY 4.0. Licensed under CC BY 4.0.1", "a"), *EDGES]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in license_rules.scan(docs).collect()}
+    assert [got[100 + k].rules for k in (1, 2, 3, 4)] == [[], ["mpl-ref"], ["mpl-ref"], ["mit-full"]]
+    assert (got[106].ids, got[107].ids) == (["mpl-ref"], ["cc-by-ref"])
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    columns = ["doc_id", "n_sentences", "ids", "rules", "licenses"]
+    want = db.execute(license_rules.sql()).fetchall()
+    ours = license_rules.scan(docs).select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("ids", "rules", "licenses")]).select(columns).collect()
+    whole = lambda r: str((None if r[0] is None or r[0] != r[0] else int(r[0]), *r[1:]))
+    assert sorted(map(whole, ours)) == sorted(map(whole, want))
+
+
 def test_licences_edges(spark):
     got = license_rules.scan(docs_of(spark, EDGES))
     assert got.count() == len(EDGES) and got.agg(F.sum("n_sentences")).first()[0] == 0

@@ -30,9 +30,9 @@ _END, _OTHER = r"[.!?]+(\s+|$)", r"[^a-z0-9\n]+"
 
 
 def known() -> list[tuple[str, str]]:
-    """Normalised sentences and identifiers. An entry that has a sentence's end within is known by its first sentence."""
-    first = lambda s: next(p.strip() for p in re.sub(_OTHER, " ", re.sub(_END, "\n", s.lower())).split("\n") if p.strip())
-    return sorted({(first(s), name) for name, sentences in SENTENCES.items() for s in sentences})
+    """Normalised entries and identifiers. An entry that has sentence ends within keeps all of its parts, two line breaks between."""
+    whole = lambda s: re.sub(_OTHER, " ", re.sub(_END, "\n\n", s.lower())).replace(" \n", "\n").replace("\n ", "\n").strip()
+    return sorted({(whole(s), name) for name, sentences in SENTENCES.items() for s in sentences})
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -42,11 +42,12 @@ def scan(docs: DataFrame) -> DataFrame:
     theirs, each once, in that order. th is the hash of the text.
     """
     names = dict(known())
+    flat = {s.replace("\n", " "): name for s, name in names.items()}
     text = F.concat(F.lit("\n"), F.lower(F.coalesce("text", F.lit(""))), F.lit("\n"))
     text = F.regexp_replace(F.regexp_replace(text, _END, "\n\n"), _OTHER, " ")
     text = F.concat(F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")), F.lit("\n"))
     any_of = "|".join(s.replace(" ", "[ \n]") for s in sorted(names, key=len, reverse=True))
-    ids = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    ids = F.create_map(*[F.lit(x) for pair in flat.items() for x in pair])
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), F.regexp_extract_all(text, F.lit(f"\n({any_of})(?=\n)"), F.lit(1)).alias("ids"))
     found = found.withColumn("ids", F.transform("ids", lambda s: F.element_at(ids, F.translate(s, "\n", " "))))
     found = found.withColumn("left", F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|")))
@@ -59,9 +60,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same as DuckDB's SQL: doc_id, n_sentences, ids, rules, licenses (lists joined by commas)."""
+    """The same as DuckDB's SQL: doc_id, n_sentences, ids, rules, licenses (lists joined by commas).
+
+    It starts from the table's own sentences and looks up what stands at each line's start; a
+    chain of successors stands for the leftmost, longest matches that don't overlap.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    table = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known())
+    table = ", ".join(f"({quote(s)}, {quote(i)})" for i, sentences in SENTENCES.items() for s in sentences)
     steps, before = [], "f"
     for k, (_, _, ids) in enumerate(RULES):
         run = quote("".join(f"|{i}|" for i in ids))
@@ -73,12 +78,17 @@ def sql() -> str:
         seen.setdefault(spdx, []).append(f"r{k}")
     for spdx, any_of in seen.items():
         licences.append(f"CASE WHEN {' OR '.join(any_of)} THEN {quote(spdx)} END")
+    plain = """replace(replace(regexp_replace(regexp_replace(lower({}), '[.!?]+(\\s+|$)', chr(10) || chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10))"""
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
-p AS (SELECT r, string_split(regexp_replace(regexp_replace(t, '[.!?]+(\\s+|$)', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS a FROM d),
-k(s, id) AS (VALUES {table}),
-m AS (SELECT r, n, id FROM (SELECT r, unnest(range(1, len(a) + 1)) AS n, trim(unnest(a)) AS s FROM p) JOIN k USING (s)),
-f AS (SELECT r, string_agg(id, ',' ORDER BY n) AS ids, '|' || string_agg(id, '||' ORDER BY n) || '|' AS l, count(*) AS n FROM m GROUP BY r),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {plain.format("chr(10) || coalesce(text, '') || chr(10)")} || chr(10) AS t FROM documents),
+k AS (SELECT id, trim(replace({plain.format("s")}, chr(10), ' ')) AS s FROM (VALUES {table}) x(s, id)),
+a AS (SELECT r, t, unnest(list_filter(range(1, length(t) + 1), lambda i: t[i] = chr(10))) AS p FROM d WHERE EXISTS (SELECT 1 FROM k WHERE contains(replace(t, chr(10), ' '), s))),
+m AS (SELECT DISTINCT r, p, p + length(s) + 1 AS q, id FROM a, (SELECT DISTINCT length(s) AS n FROM k) JOIN k ON length(k.s) = n
+      WHERE t[p + n + 1] = chr(10) AND replace(t[p + 1 : p + n], chr(10), ' ') = k.s),
+b AS (SELECT r, p, max(q) AS q, arg_max(id, q) AS id FROM m GROUP BY r, p),
+c AS (SELECT x.r, x.p, x.q, x.id, (SELECT min(y.p) FROM b y WHERE y.r = x.r AND y.p >= x.q) AS follows FROM b x),
+g AS (SELECT * FROM c WHERE (r, p) IN (SELECT r, min(p) FROM c GROUP BY r) UNION ALL SELECT c.* FROM g JOIN c ON c.r = g.r AND c.p = g.follows),
+f AS (SELECT r, string_agg(id, ',' ORDER BY p) AS ids, '|' || string_agg(id, '||' ORDER BY p) || '|' AS l, count(*) AS n FROM g GROUP BY r),
 {", ".join(steps)}
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS ids,
        CASE WHEN n IS NULL THEN '' ELSE concat_ws(',', {rules}) END AS rules,
