@@ -104,9 +104,14 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _power(len(data) + 1)
-    running = np.zeros(len(data) + 1, U64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=running[1:])
+    return span_hashes(_VALUE[data], starts, ends)
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of values."""
+    power, inverse = _power(len(values) + 1)
+    running = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * power[: len(values)], out=running[1:])
     return mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

@@ -6,10 +6,20 @@ characters between any two letters ("id-i.ot", "i d i o t"). A string's own weig
 length one. Strings are words between white space; runs of single characters count as one word.
 
 Nyström: words are described by their kernel values with landmark words, whitened by the
-landmarks' own kernel. A support vector machine (squared hinge) separates words that mark toxic
-documents, and gapped forms of them, from others; rounds of hard negatives follow. As its score is linear in the kernel
-values, landmarks and weights fold into one table of weights for letter triples, which numpy
-applies to whole batches of texts without a loop over words.
+landmarks' own kernel. As a machine's score is then linear in the kernel values, landmarks and
+weights fold into one table of weights for letter triples, and each different word is scored once.
+
+Training, on labelled sentences (lines, cut at sentence ends; a sentence has its document's label): a
+support vector machine (squared hinge) over many instances. A sentence stands or falls by its
+words, so the machine is to score some word of each toxic sentence above 1 and all words of a clean
+sentence below -1. Labels of sentences are noisy, as a toxic document has harmless sentences too:
+toxic are those with a word whose log-likelihood ratio of document counts exceeds the highest one
+of the share `TRIM` of clean documents; other sentences of toxic documents are left out. Clean
+sentences are all used, by their highest word under the machine, in `ROUNDS` rounds that each add
+what the last machine scored highest. Gapped forms (characters between all letters, or one
+inserted) of words of either class are added as sentences of their own. Near copies of a training
+document are left out. Landmarks: a quarter words of toxic sentences, a quarter gapped forms of
+them, a quarter the hardest words of clean sentences, a quarter others of these.
 
 Document: the highest word score, sums over positive word scores and the number of words go
 through a logistic regression, which gives the score.
@@ -26,7 +36,7 @@ kinds each score is the share of toxic ones (0 without any). Extra columns stay.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +48,7 @@ from tidemark.llm import bytesoup
 from tidemark.llm.common import lean
 
 DECAY, STEP, FOLDS = 0.7, 3, 5
+LANDMARKS, ROUNDS, COST, SHARE, TRIM = 256, 3, 30.0, 0.1, 0.97
 #: Symbols: 0 white space, 1-26 letters, 27 digits, 28 other ASCII, 29-60 other letters by their last byte (case-blind for Latin), 61 dropped.
 _SYMBOL = np.full(256, 28, np.int32)
 _SYMBOL[[9, 10, 11, 12, 13, 32]] = 0
@@ -51,8 +62,8 @@ _LETTER = np.array([k not in (0, 28) for k in range(_N + 1)])
 _STEPS = [(a, a + b, np.float32(DECAY ** (a + b))) for a in range(1, STEP + 1) for b in range(1, STEP + 1)]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, each one's word (-1: none), word starts and ends, and where each row's words begin."""
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, word starts and ends, and where each row's words begin."""
     symbol = _SYMBOL[data]
     keep = symbol != 61
     at = np.zeros(len(data) + 1, np.int64)
@@ -70,17 +81,19 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         ends = ends[np.append(head[1:], len(joined)) - 1]
         starts = starts[head]
         first = np.searchsorted(head, first)
-    word = np.full(len(symbol), -1, np.int64)
-    if len(starts):
-        size = ends - starts
-        place = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        word[place] = np.repeat(np.arange(len(starts)), size)
-    return symbol, word, starts, ends, first
+    return symbol, starts, ends, first
+
+
+def _gathered(symbol: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of words one after another, and each one's word."""
+    size = ends - starts
+    begin = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.int64)
+    return symbol[np.repeat(starts - begin, size) + np.arange(size.sum())], np.repeat(np.arange(len(size)), size)
 
 
 def triples(symbol: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
     """For each pair of steps: places where a triple of letters in one word begins, the triple, its weight."""
-    letter = _LETTER[symbol] & (word >= 0)
+    letter = _LETTER[symbol]
     for a, b, weight in _STEPS:
         n = len(symbol) - b
         if n <= 0:
@@ -89,20 +102,58 @@ def triples(symbol: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield at, (symbol[at] * _N + symbol[at + a]) * _N + symbol[at + b], weight
 
 
+def weighed(symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, triples, weights: each word's triples once, with the sum of their weights over all places, by word and triple."""
+    parts = [(word[at] * _N**3 + t, np.full(len(at), w)) for at, t, w in triples(symbol, word)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    keys, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order].astype(float)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(weights, at) if len(at) else np.zeros(0)
+    return keys[at] // _N**3, keys[at] % _N**3, total
+
+
 def word_scores(symbol: np.ndarray, word: np.ndarray, count: int, table: np.ndarray) -> np.ndarray:
     """The table's weights summed over each word's triples, over the word's own length in the kernel."""
-    dot, own = np.zeros(count), np.zeros(count)
-    for at, triple, weight in triples(symbol, word):
-        which = word[at]
-        dot += np.bincount(which, table[triple] * weight, count)
-        own += np.bincount(which, minlength=count) * float(weight) ** 2
-    return dot / np.sqrt(np.maximum(own, 1e-12))
+    which, triple, weight = weighed(symbol, word)
+    own = np.bincount(which, weight**2, count)
+    return np.bincount(which, table[triple] * weight, count) / np.sqrt(np.maximum(own, 1e-12))
+
+
+_VALUE = np.random.Generator(np.random.PCG64(31)).integers(1, 2**63, _N + 1, dtype=np.uint64)
+_MOST_KNOWN = 1_000_000
+
+
+class Scores:
+    """Scores of words by their hashes; each different word is scored once. Words met are kept up to a bound of memory."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table, self.hashes, self.scores = table, np.zeros(0, np.uint64), np.zeros(0)
 
+    def __call__(self, symbol: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        hashes, first, back = np.unique(bytesoup.span_hashes(_VALUE[symbol], starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.zeros(len(hashes))
+        out[known] = self.scores[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = word_scores(*_gathered(symbol, starts[first[new]], ends[first[new]]), len(new), self.table)
+            if len(self.hashes) + len(new) > _MOST_KNOWN:
+                self.hashes, self.scores = hashes, out
+            else:
+                every = np.concatenate((self.hashes, hashes[new]))
+                order = np.argsort(every)
+                self.hashes, self.scores = every[order], np.concatenate((self.scores, out[new]))[order]
+        return out[back]
 
-def features(data: np.ndarray, offs: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+
+def features(data: np.ndarray, offs: np.ndarray, score_of: Scores, bias: float) -> np.ndarray:
     """Row by row: highest word score, sum and number of positive scores, number of words (logarithms of these three)."""
-    symbol, word, starts, _, first = words(data, offs)
-    score = word_scores(symbol, word, len(starts), table) + bias
+    symbol, starts, ends, first = words(data, offs)
+    score = score_of(symbol, starts, ends) + bias
     out = np.zeros((len(offs) - 1, 4))
     out[:, 0] = -2.0
     full = np.flatnonzero(np.diff(first))
@@ -117,59 +168,51 @@ def features(data: np.ndarray, offs: np.ndarray, table: np.ndarray, bias: float)
 
 
 class Lexicon:
-    """Kernel vectors of a list of words, over the triples that any of them has."""
+    """Kernel vectors of a list of words, each set to length one."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        sizes = np.array([len(t) + 1 for t in texts])
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
         offs = np.concatenate(([0], np.cumsum(sizes)))
-        offs[-1] -= 1
-        symbol, word, _, _, first = words(data, offs)
-        row_of = np.repeat(np.arange(len(texts)), np.diff(first))
-        parts = [(row_of[word[at]], t, np.full(len(at), w)) for at, t, w in triples(symbol, word)]
-        self.row, self.triple, self.value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int),) * 3
-        own = np.bincount(self.row, self.value.astype(float) ** 2, len(texts))
-        self.value = self.value / np.sqrt(np.maximum(own, 1e-12))[self.row]
+        offs[-1] -= len(texts) > 0
+        symbol, starts, ends, first = words(np.frombuffer(b"\n".join(texts), np.uint8), offs)
+        which, self.triple, value = weighed(*_gathered(symbol, starts, ends))
+        self.row = np.repeat(np.arange(len(texts)), np.diff(first))[which]
+        own = np.bincount(self.row, value**2, len(texts))
+        self.value = value / np.sqrt(np.maximum(own, 1e-12))[self.row]
         self.count = len(texts)
 
-    def dense(self, columns: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        out = np.zeros((hi - lo, len(columns)), np.float32)
-        pick = (self.row >= lo) & (self.row < hi)
-        place = np.searchsorted(columns, self.triple[pick])
-        place[place == len(columns)] = 0
-        known = columns[place] == self.triple[pick]
-        np.add.at(out, (self.row[pick][known] - lo, place[known]), self.value[pick][known])
-        return out
-
     def kernel(self, other: Lexicon) -> np.ndarray:
+        """Kernel values of all of these with all of the other's."""
         columns = np.unique(other.triple)
-        right = other.dense(columns, 0, other.count).T
-        return np.concatenate([self.dense(columns, k, min(k + 1000, self.count)) @ right for k in range(0, self.count, 1000)])
-
-
-def _scores_of(found: list[bytes], table: np.ndarray) -> np.ndarray:
-    data = np.frombuffer(b"\n".join(found), np.uint8)
-    offs = np.concatenate(([0], np.cumsum([len(w) + 1 for w in found])))
-    offs[-1] -= 1
-    symbol, word, starts, _, first = words(data, offs)
-    out = np.full(len(found), -np.inf)
-    np.maximum.at(out, np.repeat(np.arange(len(found)), np.diff(first)), word_scores(symbol, word, len(starts), table))
-    return out
+        right = np.zeros((len(columns) + 1, other.count), np.float32)  # the last: a triple that the other hasn't
+        np.add.at(right, (np.searchsorted(columns, other.triple), other.row), other.value)
+        place = np.minimum(np.searchsorted(columns, self.triple), max(0, len(columns) - 1))
+        known = np.flatnonzero(columns[place] == self.triple) if len(columns) else np.zeros(0, np.int64)
+        out = np.zeros((self.count, other.count))
+        for lo in range(0, len(known), 20_000):
+            part = known[lo : lo + 20_000]
+            rows, at = np.unique(self.row[part], return_index=True)  # by row, as weighed() gives them
+            out[rows] += np.add.reduceat(right[place[part]] * self.value[part, None].astype(np.float32), at)
+        return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine with squared hinge loss; classes weigh the same. Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * len(y)
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+def machine(x: np.ndarray, y: np.ndarray, cost: float, share: float = 0.5, rounds: int = 25) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine with squared hinge loss; share: the upper class's part of the cost. Newton steps."""
+    each = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y < 0).sum())) * cost * len(y)
+    w, ridge = np.zeros(x.shape[1] + 1), np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-6
-    for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, c = x[active], each[active]
-        new = np.linalg.solve(ridge + (xa * c[:, None]).T @ xa, (xa * (c * y[active])[:, None]).sum(0))
+    for turn in range(rounds):
+        left, right = ridge.copy(), np.zeros(len(w))
+        active = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        for lo in range(0, len(active), 4096):  # by blocks, as the rows are many
+            part = active[lo : lo + 4096]
+            xa = np.hstack([x[part], np.ones((len(part), 1))])
+            left += (xa * each[part, None]).T @ xa
+            right += (each[part] * y[part]) @ xa
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
-        w = 0.5 * w + 0.5 * new if _ else new
+        w = 0.5 * w + 0.5 * new if turn else new
     return w
 
 
@@ -200,6 +243,14 @@ def _distinct(texts: list[bytes]) -> list[int]:
     return out
 
 
+_SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)")
+
+
+def sentences(text: bytes) -> list[bytes]:
+    """A text's lines, cut after full stops, exclamation and question marks before white space; none is empty."""
+    return [s for m in _SENTENCE.finditer(text) if (s := m[0].strip())]
+
+
 def _gapped(found: list[bytes], rng: np.random.Generator) -> list[bytes]:
     """The words with characters between all letters, and with one inserted somewhere."""
     out = []
@@ -211,16 +262,42 @@ def _gapped(found: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return out
 
 
-def _best_lines(texts: list[bytes], table: np.ndarray, bias: float) -> list[bytes]:
-    """Of each text, the line with the highest word score."""
-    out = []
-    for text in texts:
-        lines = text.split(b"\n")
-        if len(lines) > 1:
-            offs = np.concatenate(([0], np.cumsum([len(x) for x in lines])))
-            lines = [lines[int(features(np.frombuffer(b"".join(lines), np.uint8), offs, table, bias)[:, 0].argmax())]]
-        out.append(lines[0])
-    return out
+class _Labelled:
+    """Labelled sentences as lists of words: places among all different words; each sentence's document and label."""
+
+    def __init__(self, texts: list[bytes], toxic: np.ndarray) -> None:
+        place: dict[bytes, int] = {}
+        own, of_doc, size = [], [], []
+        for k, text in enumerate(texts):
+            raw = np.frombuffer(text, np.uint8)
+            found = sentences(raw[raw < 192].tobytes().lower())  # bytes that begin a letter outside ASCII say nothing, as in words()
+            data = b"".join(found)
+            _, starts, ends, first = words(np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int64))
+            for i in range(len(found)):
+                these = {data[a:b].strip(b"!?.,;:*#$%&|\"'()") for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)} - {b""}
+                if these:
+                    own += [place.setdefault(w, len(place)) for w in sorted(these)]
+                    of_doc.append(k)
+                    size.append(len(these))
+        self.words, self.word = list(place), np.array(own, np.int64)
+        self.doc, self.first = np.array(of_doc, np.int64), np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        self.toxic = np.asarray(toxic)[self.doc] > 0
+        self.sentence = np.repeat(np.arange(len(self.doc)), size)
+
+    def documents(self) -> np.ndarray:
+        """How many clean and how many toxic documents hold each word."""
+        pairs = np.divmod(np.unique(self.doc[self.sentence] * len(self.words) + self.word), len(self.words))
+        toxic = np.zeros(self.doc.max() + 1, bool)
+        toxic[self.doc] = self.toxic
+        return np.stack([np.bincount(pairs[1][toxic[pairs[0]] == side], minlength=len(self.words)) for side in (False, True)])
+
+    def best(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's word of the highest score (of equals the first), and that score."""
+        s = score[self.word]
+        top = np.maximum.reduceat(s, self.first[:-1])
+        hit = np.flatnonzero(s == top[self.sentence])
+        _, at = np.unique(self.sentence[hit], return_index=True)
+        return self.word[hit[at]], top
 
 
 class Model:
@@ -228,70 +305,94 @@ class Model:
 
     def __init__(self, table: np.ndarray, bias: float, doc: np.ndarray, base: float) -> None:
         self.table, self.bias, self.doc, self.base = table, bias, doc, base
+        self.score_of = Scores(table)
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if not len(self.doc):
             return np.full(len(offs) - 1, self.base)
-        x = features(data, offs, self.table, self.bias) @ self.doc[:-1] + self.doc[-1]
+        x = features(data, offs, self.score_of, self.bias) @ self.doc[:-1] + self.doc[-1]
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, seed: int = 3) -> Model:
+def _whitened(lex: Lexicon) -> np.ndarray:
+    """Nyström: what turns kernel values with the landmarks into coordinates whose products are the kernel."""
+    values, vectors = np.linalg.eigh(lex.kernel(lex))
+    big = values > 1e-4 * values.max(initial=0)
+    return vectors[:, big] / np.sqrt(values[big])
+
+
+def _projected(found: list[bytes], table: np.ndarray) -> np.ndarray:
+    lex = Lexicon(found)
+    return np.bincount(lex.row, table[lex.triple] * lex.value, lex.count)
+
+
+def _apart(up: np.ndarray, down: np.ndarray, n_up: int, n_down: int) -> np.ndarray:
+    """Log-likelihood ratios of words' document counts against one rate for both classes; below 0 for words rarer in toxic ones."""
+    rate = (up + down) / (n_up + n_down)
+    part = lambda n, of: np.where(n > 0, n * np.log(np.maximum(n, 1) / (of * rate)), 0)
+    return np.where(up * n_down > down * n_up, 2, -2) * (part(up, n_up) + part(down, n_down))
+
+
+def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 3) -> Model:
+    """The model by the labelled sentences of these documents, as the module's docstring tells."""
     base = float(toxic.mean()) if len(toxic) else 0.0
+    none = Model(np.zeros(0), 0.0, np.zeros(0), base)
     if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(0), 0.0, np.zeros(0), base)
+        return none
     keep = _distinct(texts)
     rng = np.random.Generator(np.random.PCG64(seed))
-    y = toxic[keep]
-    up, down = Counter(), Counter()
-    for k, is_toxic in zip(keep, y, strict=True):  # one document's words at a time
-        data = np.frombuffer(texts[k], np.uint8)
-        data = data[data < 192]
-        _, _, starts, ends, _ = words(data, np.array([0, len(data)]))
-        low = data.tobytes().lower()
-        (up if is_toxic else down).update({low[a:b].strip(b"!?.,;:*#$%&|\"'()") for a, b in zip(starts, ends, strict=True)} - {b""})
-    n_up, n_down = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-
-    def surprise(w: bytes) -> float:
-        """Log-likelihood ratio of the word's counts against one rate for both classes; 0 if it isn't rarer in clean texts."""
-        a, b = up[w], down[w]
-        rate = (a + b) / (n_up + n_down)
-        if a / n_up < 5 * (b + 0.5) / n_down:
-            return 0.0
-        return 2 * (a * np.log(a / (n_up * rate)) + (b * np.log(b / (n_down * rate)) if b else 0.0))
-
-    told = sorted(((surprise(w), w) for w in up if len(w) > 2), reverse=True)
-    marks = [w for s, w in told if s >= 20][:4000] or [w for s, w in told[:5] if s > 0]
-    if not marks:
-        return Model(np.zeros(0), 0.0, np.zeros(0), base)
-    told_marks = set(marks)
-    plain = sorted(w for w in down if len(w) > 2 and w not in told_marks)
-    frequent = sorted(plain, key=lambda w: (-down[w], w))[:1500]
-    random = [plain[i] for i in rng.permutation(len(plain))[:3000]] if plain else []
-    negative = sorted(set(frequent + random))
-    positive = marks + _gapped(marks[:600], rng)
-    negative = sorted(set(negative + _gapped(frequent, rng)))
-    for hard in range(3):
-        chosen = marks[: landmarks // 4] + [positive[i] for i in rng.permutation(len(positive))[: landmarks // 4]] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 2]]
-        lex = Lexicon(chosen)
-        own = lex.kernel(lex).astype(float)
-        values, vectors = np.linalg.eigh(own)
-        white = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
-        x = Lexicon(positive + negative).kernel(lex) @ white
-        w = machine(x, np.concatenate((np.ones(len(positive)), -np.ones(len(negative)))), 10.0)
+    told = _Labelled([texts[k] for k in keep], toxic[keep])
+    if not told.toxic.any() or told.toxic.all():
+        return none
+    down, up = told.documents()
+    n_up, n_down = len(set(told.doc[told.toxic])), len(set(told.doc[~told.toxic]))
+    past, score = np.zeros(0, np.int64), _apart(up, down, n_up, n_down)
+    for turn in range(1, rounds + 1):
+        best, top = told.best(score)
+        if turn == 1:
+            doc_top = np.full(len(keep), -np.inf)
+            np.maximum.at(doc_top, told.doc, top)
+            usual = np.quantile(doc_top[np.unique(told.doc[~told.toxic])], TRIM)
+            bar = min(usual, top[told.toxic].max() - 1e-9)  # few documents: what is highest
+            a, n_a = np.unique(told.word[told.toxic[told.sentence] & (score[told.word] > bar)], return_counts=True)
+        past = b = np.unique(np.concatenate((past, best[~told.toxic])))
+        shapes = [told.words[k] for k in a], [told.words[k] for k in b]
+        more = [_gapped(part, rng) for part in shapes]
+        some = lambda found, n: [found[k] for k in rng.permutation(len(found))[:n]]
+        hardest = [told.words[k] for k in b[np.argsort(-score[b], kind="stable")]]
+        marks = [told.words[k] for k in a[np.argsort(-n_a, kind="stable")]]
+        quarter = landmarks // 4
+        lex = Lexicon(marks[:quarter] + some(more[0], quarter) + hardest[:quarter] + some([*shapes[1], *more[1]], quarter))
+        white = _whitened(lex)
+        y = np.repeat([1.0, -1.0], [len(a) + len(more[0]), len(b) + len(more[1])])
+        shown = [*shapes[0], *more[0], *shapes[1], *more[1]]
+        x = np.concatenate([Lexicon(shown[k : k + 5_000]).kernel(lex) @ white for k in range(0, len(shown), 5_000)])
+        w = machine(x, y, COST, SHARE)
         alpha, bias = white @ w[:-1], float(w[-1])
         table = np.bincount(lex.triple, lex.value * alpha[lex.row], _N**3)
-        if hard < 2 and plain:
-            score = np.concatenate([_scores_of(plain[k : k + 5000], table) for k in range(0, len(plain), 5000)])
-            negative = sorted(set(negative) | {plain[i] for i in np.argsort(-score, kind="stable")[:1000]})
-    # whole documents, and each one's most suspicious line as a short document
-    texts = texts + _best_lines(texts, table, bias)
-    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    parts = [features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], table, bias) for a, b in bytesoup.chunks(offs)]
-    doc = logistic(np.concatenate(parts), np.concatenate((toxic, toxic)).astype(float))
+        score = np.concatenate([_projected(told.words[k : k + 5_000], table) for k in range(0, len(told.words), 5_000)]) + bias
+    # whole documents, and each one's most suspicious sentence as a short document
+    score_of = Scores(table)
+    documents = [*texts, *_suspicious(texts, score_of, bias)]
+    doc = logistic(_features(documents, score_of, bias), np.concatenate((toxic, toxic)).astype(float))
     return Model(table.astype(np.float32), bias, doc, base)
 
 
+def _features(texts: list[bytes], score_of: Scores, bias: float) -> np.ndarray:
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return np.concatenate([features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], score_of, bias) for a, b in bytesoup.chunks(offs)])
+
+
+def _suspicious(texts: list[bytes], score_of: Scores, bias: float) -> list[bytes]:
+    """Of each text, the sentence with the highest word score (of equals the first)."""
+    found = [(s, k) for k, text in enumerate(texts) for s in sentences(text) or [text]]
+    top = _features([s for s, _ in found], score_of, bias)[:, 0]
+    first: dict[int, int] = {}
+    for i in np.argsort(-top, kind="stable"):
+        first.setdefault(found[i][1], i)
+    return [found[first[k]][0] for k in range(len(texts))]
+
+
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: the model trained on all rows, which the sample's bound keeps few."""
     rows = []
