@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytesoup, cap_filters, hilbert, html_table, html_text, jaccard_join, license_rules, line_templates, mixing, pii_crf, registry, toxicity, winnow
+from tidemark.llm import buckets, bytesoup, cap_filters, hilbert, html_table, html_text, jaccard_join, license_rules, line_templates, mixing, pii_crf, registry, toxicity, winnow
 from tidemark.llm.common import connected_components, global_rank, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -63,8 +63,9 @@ def test_words_both_ways(spark):
 
 def test_components(spark):
     rng = random.Random(2)
-    for n, m in ((40, 30), (200, 120), (30, 200)):
+    for n, m in ((40, 30), (200, 120), (1500, 10)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(n, n + 40)]
+        edges += [(7, k) for k in range(10, n)] if n > 1000 else []  # a hub of more edges than are left to a shuffle
         parent = {}
 
         def find(x):
@@ -94,8 +95,8 @@ def test_line_dedup(spark):
     rows = [(k, f"Intro number {k} is its own line here\nOrder {k}7 was shipped to {n} by the mill today\nshort line", "a") for k, n in enumerate(["Ann", "Bob", "Cy", "Di"])]
     rows += [(9, "Order 1 was shipped\nnothing else in common with the others at all", "b"), (10, "One line that repeats word for word in two", "a"), (11, "x\nOne line that repeats word for word in two", "b")]
     got = {r.doc_id: r for r in line_templates.dedup(docs_of(spark, rows)).collect()}
-    assert [got[k].n_dropped for k in range(4)] == [0, 2, 2, 2]  # digits are fields, so the introductions are one template too
-    assert got[1].clean_text == "short line" and got[0].clean_text == rows[0][1]
+    assert [got[k].n_dropped for k in range(4)] == [0, 3, 3, 3]  # digits are fields, so the introductions are one template too
+    assert got[1].clean_text == "" and got[0].clean_text == rows[0][1]
     assert (got[9].n_recurring, got[10].n_recurring, got[10].n_dropped, got[11].clean_text) == (0, 1, 0, "x")
     assert line_templates.dedup(docs_of(spark, rows), keep_first=False).where("doc_id = 10").first().clean_text == ""
 
@@ -118,10 +119,19 @@ def test_line_dedup_leaf_of_several_templates(spark):
 
 def test_line_dedup_short_lines(spark):
     rows = [(k, f"All rights reserved.\n\nPage {k}\n\nword{'abcdef'[k]} alone" + ("\nSeen twice" if k < 2 else ""), "a") for k in range(6)]
-    got = {r.doc_id: r for r in line_templates.dedup(docs_of(spark, rows), short_docs=3).collect()}
-    assert [got[k].n_dropped for k in range(6)] == [0, 2, 2, 2, 2, 2] and got[0].n_recurring == 2
-    assert got[1].clean_text == "\n\nwordb alone\nSeen twice"
-    assert line_templates.dedup(docs_of(spark, rows)).agg(F.sum("n_recurring")).first()[0] == 0
+    got = {r.doc_id: r for r in line_templates.dedup(docs_of(spark, rows)).collect()}
+    assert [got[k].n_dropped for k in range(6)] == [0, 3, 2, 2, 2, 2] and got[0].n_recurring == 3
+    assert got[1].clean_text == "\n\nwordb alone"
+    few = {r.doc_id: r for r in line_templates.dedup(docs_of(spark, rows), short_docs=3).collect()}
+    assert [few[k].n_dropped for k in range(6)] == [0, 2, 2, 2, 2, 2] and few[1].clean_text == "\n\nwordb alone\nSeen twice"
+
+
+def test_line_dedup_hot_line(spark):
+    """A line and a template of more lines than are left to a shuffle, with and without the leaves broadcast."""
+    rows = [(k, f"Read all about it on page {k} of this issue\nThe {'abcdefgh'[k % 8]}th very common line of them all", "a") for k in range(2500)]
+    for most in (2_000_000, 0):
+        got = line_templates.dedup(docs_of(spark, rows), broadcast_rows=most).agg(F.sum("n_recurring"), F.sum("n_dropped")).first()
+        assert got[0] == 5000 and 5000 - 9 <= got[1] <= 5000 - 2
 
 
 def test_line_dedup_edges(spark):
@@ -707,3 +717,10 @@ def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 2), (1, None, None, 1)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_text.extract(df).collect()] == [("", 0)] * 3
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_names_sort_by_id(spark):
+    ids = [None, -(2**63), -5, -1, 0, 1, 255, 2**40, 2**63 - 1]
+    rows = buckets.named(spark.createDataFrame([(bytes([k]), i) for k, i in enumerate(ids)], "cls binary, class_id long"))
+    got = rows.select("class_id", "cls", buckets.class_id_of(F.col("cls")).alias("back")).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: bytes(r.cls))] == [*ids[1:], None] and all(r.back == r.class_id for r in got)

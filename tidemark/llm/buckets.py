@@ -10,6 +10,10 @@ rows; a bucket is a value that two classes or more share.
 - A pair of classes is counted in the first bucket that both have, so nothing is counted twice.
 - A group returns one row per linked class (links, and the least class that it hangs together
   with), not one per pair, so that groups of near copies don't flood the shuffle.
+- A class's name begins with its least row id, in an order that bytes have too: a component's root
+  tells its id without another join. Joins on classes go by broadcast for the few of very many rows.
+- Exact counts of links need each pair of a bucket compared: of a bucket of n classes each payload
+  is sent n / tile times, so what is shuffled for it grows with n * n / tile.
 """
 
 from __future__ import annotations
@@ -22,12 +26,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytesoup import trimmed
-from tidemark.llm.common import connected_components, cut
+from tidemark.llm.common import connected_components, cut, hot_from, join_hot
 
 #: Payloads of a group's classes to the table of which pairs link.
 Near = Callable[[list[np.ndarray]], np.ndarray]
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of all pairs of sorted sets: products of blocks of the 0/1 table of sets and values."""
+    k = len(sets)
+    if k == 2:
+        both = float(len(np.intersect1d(sets[0], sets[1], assume_unique=True)))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = counts[ids] > 1
+    owner, ids = owner[keep], ids[keep]
+    dense = np.cumsum(counts > 1) - 1
+    ids = dense[ids]
+    order = np.argsort(ids, kind="stable")
+    owner, ids = owner[order], ids[order]
+    out, width = np.zeros((k, k), np.float32), max(64, 4_000_000 // k)
+    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+        a, b = np.searchsorted(ids, (lo, lo + width))
+        block = np.zeros((k, width), np.float32)
+        block[owner[a:b], ids[a:b] - lo] = 1
+        out += block @ block.T
+    return out
+
+
 def _verify(keys: list[bytes], rows: np.ndarray, sides: np.ndarray, buckets: list[np.ndarray], bucket: int, near: np.ndarray) -> Iterator[tuple[bytes, int, bytes]]:
     """sides: the tile (0 or 1) of each class; if both occur, only pairs across count."""
     np.fill_diagonal(near, False)
@@ -36,12 +63,9 @@ def _verify(keys: list[bytes], rows: np.ndarray, sides: np.ndarray, buckets: lis
     if not near.any():
         return
     count = near
-    if earlier := sorted({int(x) for b in buckets for x in b if x < bucket}):
-        place = {x: i for i, x in enumerate(earlier)}
-        table = np.zeros((len(keys), len(earlier)), np.float32)
-        for i, b in enumerate(buckets):
-            table[i, [place[int(x)] for x in b if x < bucket]] = 1
-        count = near & ~((table @ table.T) > 0)
+    earlier = [b[b < bucket] for b in buckets]
+    if any(map(len, earlier)):
+        count = near & ~(shared_counts(earlier) > 0)
     links = count @ rows
     rank = np.argsort(np.argsort(np.array(keys, object)))
     root = rank.copy()
@@ -91,6 +115,19 @@ def _verifier(near: Near, kind: type):
     return verify
 
 
+def named(classes: DataFrame) -> DataFrame:
+    """classes (cls, class_id, ...) with `hash`, the cls it had, and as cls a name that sorts by class_id (null last), then hash."""
+    none, least = F.col("class_id").isNull(), F.lit(1 - 2**63) - 1
+    number = F.unhex(F.lpad(F.hex(F.coalesce("class_id", F.lit(0)).bitwiseXOR(least)), 16, "0"))
+    return classes.withColumnRenamed("cls", "hash").withColumn("cls", F.concat(F.unhex(F.when(none, "01").otherwise("00")), number, "hash"))
+
+
+def class_id_of(name):
+    """The class_id within a name."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number.cast("long"))
+
+
 def shared(classes: DataFrame, values: str, tile: int) -> DataFrame:
     """cls, bucket, tiles: which classes are in which buckets. classes: cls and an array of values."""
     member = classes.select("cls", F.explode(values).alias("bucket"))
@@ -127,20 +164,25 @@ def buckets_of(placed: DataFrame) -> DataFrame:
     return placed.groupBy("cls").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
 
 
+def with_class(rows: DataFrame, classes: DataFrame, found: DataFrame, *extra) -> DataFrame:
+    """rows (with cls, a class's hash or null) left-joined with class_id, links, root, n_rows, name and extra columns of their class."""
+    total = classes.agg(F.sum("n_rows")).first()[0] or 0
+    one = classes.join(found, "cls").select(F.col("hash").alias("cls"), "class_id", "links", "root", F.col("cls").alias("name"), "n_rows", *extra, F.col("n_rows").alias("n"))
+    return join_hot(rows, one, "cls", hot_from(total))
+
+
 def per_row(rows: DataFrame, classes: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
     """All columns of rows (which has row_id and a cls, null for what links with nothing), class_id, n_links, component_id, kept.
 
-    classes: cls, class_id (the least id), n_rows.
+    classes: from named(), with n_rows.
     """
-    labelled = classes.select("cls", "class_id", "n_rows").join(found, "cls")
-    least = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labelled = labelled.join(least, "root").select("cls", "class_id", "component_id", (F.col("n_rows") - 1 + F.col("links")).alias("n_links"))
-    out = rows.join(labelled, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col(row_id)).otherwise(F.col("component_id"))
+    out = with_class(rows, classes, found)
+    component = F.when(F.col("cls").isNull(), F.col(row_id)).otherwise(class_id_of(F.col("root")))
+    out = out.withColumn("component_id", component)
     return out.select(
         *rows.columns,
         "class_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
+        F.coalesce(F.col("n_rows") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
+        "component_id",
         (F.col("cls").isNull() | F.col(row_id).eqNullSafe(F.col("component_id"))).alias("kept"),
     )

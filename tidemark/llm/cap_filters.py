@@ -163,7 +163,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9, cap_rows: float = 2
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(name))
     keyed = cut(lean(rows).mapInArrow(trimmed(_keyed), f"vec_id bigint, cls binary, embedding {name}"))
     classes = keyed.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), F.first("embedding").alias("payload"))
-    classes = cut(classes)
+    classes = cut(buckets.named(classes))
     decode = _decoder(classes.count(), cosine, cap_rows, shared_caps, codes, seed)
     placed = buckets.shared(classes.select("cls", "payload").mapInArrow(trimmed(decode), "cls binary, caps array<bigint>"), "caps", tile)
     payload = classes.select("cls", "n_rows", "payload").join(buckets.buckets_of(placed), "cls")

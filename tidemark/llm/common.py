@@ -83,12 +83,32 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__start") + within).drop("__part", "__start")
 
 
+def hot_from(total: int) -> int:
+    """From how many rows on a key counts as hot: so that at most 10,000 keys do, whatever the size."""
+    return max(1000, total // 10_000)
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: int) -> DataFrame:
+    """rows left-joined with `one`, which has one row per key and `n`, how many of the rows have it.
+
+    Keys of more than `hot` rows are joined by broadcast (hot_from() bounds their number), so no
+    task gets all rows of one; the others are shuffled. Rows with a null key stay where they are.
+    """
+    extra = [c for c in one.columns if c not in (key, "n")]
+    big = one.where(F.col("n") > hot).select(key, F.struct(*extra).alias("__big"))
+    marked = rows.join(F.broadcast(big), key, "left")
+    here = F.col("__big").isNotNull() | F.col(key).isNull()
+    fast = marked.where(here).select(*rows.columns, *[F.col("__big")[c].alias(c) for c in extra])
+    rest = marked.where(~here).drop("__big").join(one.where(F.col("n") <= hot).drop("n"), key, "left")
+    return fast.unionByName(rest.select(*rows.columns, *extra))
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the least node reachable.
 
-    Alternating large-star and small-star rounds: each is one aggregation and one equi-join, hubs
-    are pre-aggregated, and the number of rounds is logarithmic. Nothing but a checksum reaches
-    the driver; each round is cut by a checkpoint.
+    Alternating large-star and small-star rounds: each is one aggregation and one join, hubs are
+    pre-aggregated and joined by broadcast, and the number of rounds is logarithmic. Nothing but a
+    checksum reaches the driver; each round is cut by a checkpoint.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = cut(e), None
@@ -98,10 +118,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = sign
+        before, hot = sign, hot_from(2 * sign[0])
+        least = lambda pairs: pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        # few edges: no node can be hot
+        joined = lambda pairs, low: join_hot(pairs, low, "u", hot) if 2 * sign[0] > hot else pairs.join(low.drop("n"), "u")  # noqa: B023, E731
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = least(both).withColumn("m", F.least("u", "m"))
+        large = joined(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = least(large)
+        small = joined(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())

@@ -104,46 +104,24 @@ def _setter(n: int):
     return sets
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Size of the intersection of all pairs of sorted sets: products of blocks of the 0/1 table of sets and values."""
-    k = len(sets)
-    if k == 2:
-        both = float(len(np.intersect1d(sets[0], sets[1], assume_unique=True)))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
-    owner = np.repeat(np.arange(k), [len(s) for s in sets])
-    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = counts[ids] > 1
-    owner, ids = owner[keep], ids[keep]
-    dense = np.cumsum(counts > 1) - 1
-    ids = dense[ids]
-    order = np.argsort(ids, kind="stable")
-    owner, ids = owner[order], ids[order]
-    out, width = np.zeros((k, k), np.float32), max(64, 4_000_000 // k)
-    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
-        a, b = np.searchsorted(ids, (lo, lo + width))
-        block = np.zeros((k, width), np.float32)
-        block[owner[a:b], ids[a:b] - lo] = 1
-        out += block @ block.T
-    return out
-
-
 def _near(threshold: float):
     def near(sets: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(s) for s in sets], np.float64)
-        both = shared_counts(sets)
+        both = buckets.shared_counts(sets)
         return both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
 
     return near
 
 
 def _joined(docs: DataFrame, n: int, threshold: float, recall: float, tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, th, cls, n_grams), classes (cls, class_id, n_rows, first) and what buckets.linked() finds."""
+    """Rows (doc_id, th, cls, n_grams), classes (hash, cls, class_id, n_rows, first) and what buckets.linked() finds."""
     rows, count = bands(threshold, recall)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     signed = cut(lean(docs).mapInArrow(bytesoup.trimmed(_signer(n, rows, count)), "doc_id bigint, th bigint, cls binary, n_grams bigint, bands array<bigint>"))
     classes = signed.where("cls is not null").groupBy("cls")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    classes = cut(classes.agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), first, F.first("bands").alias("bands")))
+    classes = classes.agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), first, F.first("bands").alias("bands"))
+    classes = cut(buckets.named(classes))
     placed = buckets.shared(classes, "bands", tile)
     # one text for each class in a bucket: that of its first row
     own = classes.select("cls", "n_rows", "first.*").join(buckets.buckets_of(placed), "cls").alias("c")
@@ -168,15 +146,13 @@ def distinct(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     """The rows of docs, with all their columns, that stay when one row of each component does.
 
     The one with the least id stays (a null id is greater than all), of equal ids the one with the
-    least text hash, of equal rows one of them. Rows without words stay. What goes is broadcast
+    least hash of its n-gram set, then of its text, of equal rows one of them. Rows without words stay. What goes is broadcast
     only after it was counted.
     """
     signed, classes, found = _joined(docs, n, threshold, recall, tile)
-    labelled = classes.select("cls", "first").join(found.select("cls", "root"), "cls")
-    stays = labelled.groupBy("root").agg(F.min("first").alias("stays"))
-    stays = labelled.join(stays, "root").select("cls", "stays.doc_id", "stays.th").alias("c")
-    rows = signed.where("cls is not null").alias("r").join(stays, "cls").where("not (r.doc_id <=> c.doc_id and r.th = c.th)")
-    gone = cut(rows.select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th")).distinct())
+    rows = buckets.with_class(signed.where("cls is not null"), classes, found, "first")
+    rows = rows.where(~((F.col("root") == F.col("name")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
+    gone = cut(rows.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
     twice = cut(signed.where("cls is not null").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).count().where("count > 1").drop("count"))

@@ -17,14 +17,18 @@ line whose token at such a place is a field's rare value may stay a template of
 several=False ends after the first template of each leaf. A template in lines of `min_docs`
 documents recurs.
 
+Lines of up to `depth` tokens go through the same tree: all of their tokens lead, so the leaf is
+the line (digits aside). As short lines are more likely to be equal by chance, templates of fewer
+than `short_tokens` tokens may be asked to be in `short_docs` documents instead (the same number by
+default, so length makes no difference).
+
 Recurring templates are dropped from all documents but the first (least id, then line), so that
-no content is lost altogether; keep_first=False drops it there too. Lines of fewer than
-`min_tokens` tokens recur by chance, so they stay unless `short_docs` is given: then those that are
-equal (digits aside, no wildcards) in that many documents recur too.
+no content is lost altogether; keep_first=False drops it there too.
 
 Hot leaves and templates are aggregated before each shuffle, by (leaf, place, token) or (template,
-document); no window or list gathers a template's lines in one task. The set of leaves is
-broadcast only after it was counted, up to `broadcast_rows`.
+document); no window or list gathers a template's lines in one task. What is known of a leaf, line
+or template is joined with its lines by broadcast for the few of very many lines (`join_hot`), by
+shuffle for the others; the set of leaves (fixed-size rows) is broadcast after it was counted, up to `broadcast_rows`.
 
 Defined results: null and empty texts have no lines to drop; a null text stays null. Repeated rows
 (equal id and text) count as one document and lose the same lines. Null ids are kept, as the
@@ -38,27 +42,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, hot_from, join_hot
 
 ADDED = ["n_lines", "n_recurring", "n_dropped", "clean_text"]
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int, short: bool) -> DataFrame:
-    """doc_id, th, line, text, leaf, same: all lines of enough tokens, normalised. same: hash of the whole line.
-
-    short: those of fewer tokens too, each in a leaf of its equals, with a column `short`.
-    """
+def _lines(docs: DataFrame, depth: int, short_tokens: int) -> DataFrame:
+    """doc_id, th, line, text, leaf, same, short: all lines with tokens, normalised. same: hash of the whole line."""
     text = F.col("text")
     odd = [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]  # most texts need no replacing, and searching is cheap
     text = F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
     text = F.when(F.rlike(text, F.lit("[0123456789]")), F.regexp_replace(text, "[0123456789]+", "0")).otherwise(text)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
-    rows = rows.withColumn("text", F.trim("text"))
-    rows = rows.withColumn("n", F.size(F.split("text", " "))).where((F.col("text") != "") if short else (F.col("n") >= min_tokens))
-    leaf, few = F.xxhash64("n", F.substring_index("text", " ", depth)), F.col("n") < min_tokens
-    if not short:
-        return rows.select("doc_id", "th", "line", "text", leaf.alias("leaf"), F.xxhash64("text").alias("same"))
-    return rows.select("doc_id", "th", "line", "text", F.when(few, F.xxhash64("n", "text")).otherwise(leaf).alias("leaf"), F.xxhash64("text").alias("same"), few.alias("short"))
+    rows = rows.withColumn("text", F.trim("text")).where("text <> ''").withColumn("n", F.size(F.split("text", " ")))
+    leaf = F.xxhash64("n", F.substring_index("text", " ", depth))
+    return rows.select("doc_id", "th", "line", "text", leaf.alias("leaf"), F.xxhash64("text").alias("same"), (F.col("n") < short_tokens).alias("short"))
 
 
 def _named(distinct: DataFrame, similarity: float, several: bool) -> DataFrame:
@@ -87,33 +85,40 @@ def _named(distinct: DataFrame, similarity: float, several: bool) -> DataFrame:
         rest = rest.where("not fits").join(share.where("fit < all"), group).select("leaf", "same", "text", "docs", F.xxhash64("part", F.lit(len(done)), split).alias("part"))
 
 
-def recurring(docs: DataFrame, depth: int = 4, min_tokens: int = 5, similarity: float = 0.7, min_docs: int = 2, broadcast_rows: int = 2_000_000, several: bool = True, short_docs: int | None = None) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = 4, similarity: float = 0.7, min_docs: int = 2, short_tokens: int = 5, short_docs: int | None = None, broadcast_rows: int = 2_000_000, several: bool = True) -> DataFrame:
     """doc_id, th, line, leaf, own (0: the leaf's first template, else another of it), first: lines of recurring templates.
 
     first: whether it is the template's first line in its first document.
     """
-    docs = docs.select("doc_id", "text")
-    short = short_docs is not None
-    lines = _lines(docs, depth, min_tokens, short)
-    need = F.when(F.first("short"), short_docs).otherwise(min_docs) if short else F.lit(min_docs)
-    per_doc = lines.groupBy("leaf", "doc_id", "th").agg(F.min("same").alias("a"), F.max("same").alias("b"), *([F.first("short").alias("short")] if short else []))
-    leaves = per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("a") != F.max("b")).alias("mixed"), need.alias("need")).where("docs >= need")
-    leaves = cut(leaves.select("leaf", "mixed"))
-    lines = lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_rows else leaves, "leaf")
+    lines = _lines(docs.select("doc_id", "text"), depth, short_tokens)
+    need = F.when(F.first("short"), min_docs if short_docs is None else short_docs).otherwise(min_docs).alias("need")
+    count = F.count(F.lit(1))
+    per_doc = lines.groupBy("leaf", "doc_id", "th").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.first("short").alias("short"), count.alias("n"))
+    leaves = per_doc.groupBy("leaf").agg(count.alias("docs"), (F.min("a") != F.max("b")).alias("mixed"), need, F.sum("n").alias("n"))
+    leaves = cut(leaves.where("docs >= need").select("leaf", "mixed", "need", "n"))
+    size = leaves.agg(count, F.sum("n")).first()
+    hot = hot_from(size[1] or 0)
+    if size[0] <= broadcast_rows:
+        lines = lines.join(F.broadcast(leaves.drop("n")), "leaf")
+    else:
+        lines = join_hot(lines, leaves, "leaf", hot).where("mixed is not null")
     # a leaf whose lines are all equal is its own template: only the text of the others is needed
-    lines = cut(lines.withColumn("text", F.when(F.col("mixed"), F.col("text"))))
+    lines = cut(lines.withColumn("text", F.when(F.col("mixed"), F.col("text"))).drop("short"))
     mixed = lines.where("mixed")
-    per_doc = mixed.groupBy("leaf", "same", "doc_id", "th").agg(F.first("text").alias("text"))
-    distinct = cut(per_doc.groupBy("leaf", "same").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("docs")))
-    named = _named(distinct, similarity, several)
-    place = ["doc_id", "th", "line", "leaf"]
+    per_doc = mixed.groupBy("leaf", "same", "doc_id", "th").agg(F.first("text").alias("text"), count.alias("n"))
+    distinct = cut(per_doc.groupBy("leaf", "same").agg(F.first("text").alias("text"), count.alias("docs"), F.sum("n").alias("n")))
+    named = _named(distinct, similarity, several).join(distinct.select("leaf", "same", "n"), ["leaf", "same"])
+    place = ["doc_id", "th", "line", "leaf", "need"]
     alone = lines.where("not mixed").select(*place, F.lit(0).cast("long").alias("own"))
-    marked = cut(mixed.select(*place, "same").join(named, ["leaf", "same"]).select(*place, "own").unionByName(alone).distinct())
-    by_doc = marked.groupBy("leaf", "own", "doc_id", "th").agg(F.min("line").alias("line"))
-    groups = by_doc.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th", "line")).alias("f")).where(F.col("docs") >= min_docs)
-    out = marked.join(groups, ["leaf", "own"])
-    first: Column = F.struct("doc_id", "th", "line").eqNullSafe(F.col("f"))
-    return out.select("doc_id", "th", "line", "leaf", "own", first.alias("first"))
+    # one row for each line of a repeated row is enough
+    pair = lambda a, b: F.struct(F.col(a), F.col(b)).alias("pair")
+    own = join_hot(mixed.select(*place, pair("leaf", "same")), named.select(pair("leaf", "same"), "own", "n"), "pair", hot)
+    marked = cut(own.select(*place, "own").unionByName(alone).distinct())
+    by_doc = marked.groupBy("leaf", "own", "doc_id", "th").agg(F.min("line").alias("line"), F.first("need").alias("need"), count.alias("n"))
+    first: Column = F.min(F.struct("doc_id", "th", "line")).alias("f")
+    groups = by_doc.groupBy("leaf", "own").agg(count.alias("docs"), F.first("need").alias("need"), first, F.sum("n").alias("n")).where("docs >= need")
+    out = join_hot(marked.select("doc_id", "th", "line", pair("leaf", "own")), groups.select(pair("leaf", "own"), "f", "n"), "pair", hot).where("f is not null")
+    return out.select("doc_id", "th", "line", "pair.leaf", "pair.own", F.struct("doc_id", "th", "line").eqNullSafe(F.col("f")).alias("first"))
 
 
 def dedup(docs: DataFrame, keep_first: bool = True, **parameters) -> DataFrame:

@@ -75,7 +75,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, ch
                   string_split(regexp_replace(regexp_replace(text, '[ \t\r\f\v]+', ' ', 'g'), '[0-9]+', '0', 'g'), chr(10)) AS a FROM documents),
 l AS (SELECT r, doc_id, n, s, len(string_split(s, ' ')) AS k, array_to_string(string_split(s, ' ')[1:4], ' ') AS h
       FROM (SELECT r, doc_id, unnest(range(0, len(a))) AS n, trim(unnest(a), ' ') AS s FROM d)),
-e AS (SELECT * FROM l WHERE k >= 5 AND (k, h) IN (SELECT k, h FROM l WHERE k >= 5 GROUP BY k, h HAVING count(DISTINCT r) >= 2)),
+e AS (SELECT * FROM l WHERE s <> '' AND (k, h) IN (SELECT k, h FROM l GROUP BY k, h HAVING count(DISTINCT r) >= 2)),
 u AS (SELECT k, h, s, count(DISTINCT r) AS docs FROM e GROUP BY k, h, s),
 t AS (SELECT k, h, s, docs, unnest(range(0, k)) AS p, unnest(string_split(s, ' ')) AS w FROM u),
 c AS (SELECT k, h, p, w, sum(docs) AS c FROM t GROUP BY k, h, p, w),
