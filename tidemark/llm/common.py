@@ -85,7 +85,7 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
 
 def hot_from(total: int) -> int:
     """From how many rows on a key counts as hot: so that at most 10,000 keys do, whatever the size."""
-    return max(1000, total // 10_000)
+    return max(100, total // 10_000)
 
 
 def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: int) -> DataFrame:
