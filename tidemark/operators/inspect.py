@@ -105,3 +105,19 @@ def parse_payload(payload):
     ok = (F.octet_length(payload) >= 32) & (F.substring(text, 1, 8) == "42535331")
     number = lambda at, n: F.conv(F.substring(text, at, n), 16, 10).cast("long")
     return F.struct(F.when(ok, F.lower(F.substring(text, 9, 32))).alias("run"), F.when(ok, number(41, 8)).alias("producer"), F.when(ok, number(49, 16)).alias("sequence"))
+
+
+def inspect_metadata(index: DataFrame, cursors: DataFrame, checkpoints: DataFrame, latest: int) -> DataFrame:
+    """One report for each topic: topic, segments, batches, records, gaps, overlaps, out_of_order, same_order, lagging.
+
+    index: topic, vp, window_start, snowflake_id, seq_start, seq_end, record_count. Issues are those
+    past the cursors, in order of ids. checkpoints: topic, vp, ckpt_window; latest: the window that
+    readers should have come to.
+    """
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    sizes = index.groupBy("topic").agg(F.count_distinct("snowflake_id").alias("segments"), F.count(F.lit(1)).alias("batches"), F.sum("record_count").cast("long").alias("records"))
+    issues = continuity(index, cursors, ["snowflake_id", "seq_start"], "source").groupBy("topic").agg(of("gap").alias("gaps"), of("overlap").alias("overlaps"), of("out_of_order").alias("out_of_order"))
+    order = order_divergence(index, ["snowflake_id", "seq_start"], ["seq_start", "snowflake_id"]).groupBy("topic").agg(F.bool_and("same_order").alias("same_order"))
+    late = lagging(checkpoints, latest).groupBy("topic").agg(F.count(F.lit(1)).alias("lagging"))
+    out = sizes.join(issues, "topic", "left").join(order, "topic", "left").join(late, "topic", "left")
+    return out.fillna(0, ["gaps", "overlaps", "out_of_order", "lagging"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.functions.keys import blob_key, id_text, id_time_ms, parse_window_key, sip_partition, varint_size, virtual_partition, window_key
-from tidemark.operators import control, flush, inspect, lease, log, placement, scan
+from tidemark.operators import client, control, flush, inspect, lease, log, placement, scan
 from tidemark.operators import cost as costs
 from tidemark.plans import reader, windows
 from tidemark.sources.tables import PARTITIONS, WINDOW_S, event_arrivals, event_records, order_records, table
@@ -296,11 +296,11 @@ def lost_ranges(spark, sf):
 
 
 @register(
-    f"""WITH {_IDX}, s AS (SELECT * FROM idx WHERE vp % 2 = 1) SELECT topic, window_start, snowflake_id, min(byte_start) AS span_start, max(byte_end) AS span_end, CAST(sum(byte_end - byte_start) AS BIGINT) AS wanted,
+    f"""WITH {_IDX}, s AS (SELECT * FROM idx) SELECT topic, window_start, snowflake_id, min(byte_start) AS span_start, max(byte_end) AS span_end, CAST(sum(byte_end - byte_start) AS BIGINT) AS wanted,
     count(*) AS ranges, CAST(max(byte_end) - min(byte_start) - sum(byte_end - byte_start) AS BIGINT) AS overfetch FROM s GROUP BY topic, window_start, snowflake_id"""
 )
 def read_spans(spark, sf):
-    return scan.read_spans(index(spark, sf).where("vp % 2 = 1"))
+    return scan.read_spans(index(spark, sf))
 
 
 @register(f"WITH {_IDX} SELECT topic, vp, window_start, max(snowflake_id) AS frontier FROM idx GROUP BY ALL")
@@ -596,11 +596,11 @@ def plan_summary(spark, sf):
 
 
 @register(
-    """WITH a AS (SELECT event_type AS topic, 'r' || CAST(user_id % 3 AS VARCHAR) AS reason, event_id AS id FROM events WHERE event_id % 4 = 0)
+    """WITH a AS (SELECT event_type AS topic, 'r' || CAST(user_id % 3 AS VARCHAR) AS reason, event_id AS id FROM events)
     SELECT topic, reason, max(n) AS retries, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY topic, reason ORDER BY id DESC) AS r, count(*) OVER (PARTITION BY topic, reason) AS n FROM a) WHERE r <= 3 GROUP BY topic, reason"""
 )
 def retry_summary(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 4 = 0")
+    e = table(spark, sf, "events")
     return flush.retry_summary(e.select(F.col("event_type").alias("topic"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("reason"), F.col("event_id").alias("at"), F.col("event_id").alias("id")), 3)
 
 
@@ -737,7 +737,115 @@ def request_validation(spark, sf):
     return reader.request_violation(q, 300).select("event_id", "violation")
 
 
-# What SQL can't say: tests hold these against golden values and invariants
+# Clients and coordinators
+
+
+@register(
+    f"""WITH {_REC}, q AS (SELECT rec.*, CASE WHEN topic = 'signup' THEN 'UNKNOWN_TOPIC' WHEN payload_bytes + 20 > 32 THEN 'TOO_LARGE' WHEN arrival % 13 = 0 THEN 'OVERLOADED' WHEN vp = 5 OR arrival % 17 = 0 THEN 'NOT_LEASE_HOLDER' ELSE 'OK' END AS status FROM rec)
+    SELECT arrival AS input_idx, status, CASE WHEN status = 'OK' THEN row_number() OVER (PARTITION BY topic, vp, status ORDER BY window_start, arrival) - 1 END AS "offset" FROM q"""
+)
+def produce(spark, sf):
+    topics = spark.createDataFrame([(t, 64, 2) for t in ("click", "error", "purchase", "view")], "topic string, partition_count int, num_writers int")
+    r = event_arrivals(spark, sf).withColumns({"input_idx": F.col("arrival"), "encoded_bytes": client.encoded_bytes(F.lit(10), F.col("payload_bytes")), "overloaded": F.col("arrival") % 13 == 0, "assigned": F.col("vp") != 5, "draining": F.col("arrival") % 17 == 0})
+    return client.produce(r, topics, 32)
+
+
+@register("SELECT doc_id, n + 18 + CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 ELSE 3 END + 1 AS encoded_bytes, n + 18 + CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 ELSE 3 END + 1 > 4096 AS rejected FROM (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents)")
+def record_guard(spark, sf):
+    size = client.encoded_bytes(F.lit(10), F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).cast("long")
+    return table(spark, sf, "documents").select("doc_id", size.alias("encoded_bytes"), client.too_large(size, 4096).alias("rejected"))
+
+
+_GROUP = "grp AS (SELECT 't' || CAST(c_custkey % 4 AS VARCHAR) AS topic, 'm' || CAST(c_custkey % 40 AS VARCHAR) AS member_id, c_custkey * 1000 AS expiry_ms FROM customer)"
+
+
+def group_members(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(F.concat(F.lit("t"), k % 4).alias("topic"), F.concat(F.lit("m"), k % 40).alias("member_id"), (k * 1000).alias("expiry_ms"))
+
+
+@register(f"WITH {_GROUP} SELECT DISTINCT topic, member_id FROM grp WHERE expiry_ms > 100000")
+def active_members(spark, sf):
+    return client.active_members(group_members(spark, sf), 100_000)
+
+
+@register(
+    f"""WITH {_GROUP}, {_PLAN}, a AS (SELECT DISTINCT topic, member_id FROM grp WHERE expiry_ms > 100000 AND topic <> 't2' UNION SELECT topic, member_id FROM plan WHERE topic = 't2'),
+    p AS (SELECT DISTINCT topic, member_id FROM plan) SELECT coalesce(a.topic, p.topic) AS topic, count(*) FILTER (WHERE p.topic IS NULL) AS joined, count(*) FILTER (WHERE a.topic IS NULL) AS "left",
+    coalesce(a.topic, p.topic) <> 't1' AS valid, coalesce(a.topic, p.topic) <> 't2' AS repair FROM a FULL JOIN p ON a.topic = p.topic AND a.member_id = p.member_id GROUP BY coalesce(a.topic, p.topic)"""
+)
+def repair_gate(spark, sf):
+    p = plan(spark, sf)
+    m = group_members(spark, sf).where("topic <> 't2'").unionByName(p.where("topic = 't2'").select("topic", "member_id", F.lit(200_000).cast("long").alias("expiry_ms")))
+    return client.repair_gate(m, p, p.where("topic = 't1'").select("topic"), 100_000)
+
+
+@register(
+    f"""WITH {_LEASES}, {_PLAN}, h AS (SELECT 't' || CAST(o_custkey % 4 AS VARCHAR) AS topic, CAST(o_custkey AS INTEGER) AS vp, o_orderkey AS o, o_orderstatus = 'F' AS d FROM orders)
+    SELECT l.topic, l.vp, l.owner AS member_id, count(*) FILTER (WHERE NOT d) AS dropped, max(CASE WHEN d THEN o END) AS fence
+    FROM leases l LEFT JOIN h ON h.topic = l.topic AND h.vp = l.vp WHERE (l.topic, l.vp, l.owner) NOT IN (SELECT topic, vp, member_id FROM plan) GROUP BY l.topic, l.vp, l.owner"""
+)
+def revocations(spark, sf):
+    k = F.col("o_custkey")
+    held = table(spark, sf, "orders").select(F.concat(F.lit("t"), k % 4).alias("topic"), k.cast("int").alias("vp"), F.col("o_orderkey").alias("offset"), (F.col("o_orderstatus") == "F").alias("delivered"))
+    return client.revocations(leases(spark, sf).withColumnRenamed("owner", "member_id"), plan(spark, sf), held)
+
+
+@register(
+    """WITH e AS (SELECT event_type AS topic, CAST(user_id AS INTEGER) AS vp, event_id AS seq, CASE row_number() OVER w % 4 WHEN 1 THEN CASE WHEN event_id % 10 = 0 THEN 'stop' ELSE 'admit' END WHEN 2 THEN 'stop' WHEN 3 THEN 'drained' ELSE 'release' END AS step FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)),
+    f AS (SELECT *, lag(step) OVER (PARTITION BY topic, vp ORDER BY seq) AS b FROM e)
+    SELECT topic, vp, seq, CASE step WHEN 'admit' THEN 'admitted_before_release' WHEN 'stop' THEN 'stopped_without_admission' WHEN 'drained' THEN 'drained_while_admitting' ELSE 'released_before_drain' END AS violation FROM f
+    WHERE CASE step WHEN 'admit' THEN b IS NOT NULL AND b <> 'release' WHEN 'stop' THEN b IS DISTINCT FROM 'admit' WHEN 'drained' THEN b IS DISTINCT FROM 'stop' ELSE b IS DISTINCT FROM 'drained' END"""
+)
+def drain_violations(spark, sf):
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id")) % 4
+    step = F.when(turn == 1, F.when(F.col("event_id") % 10 == 0, "stop").otherwise("admit")).when(turn == 2, "stop").when(turn == 3, "drained").otherwise("release")
+    return client.drain_violations(table(spark, sf, "events").select(F.col("event_type").alias("topic"), F.col("user_id").cast("int").alias("vp"), F.col("event_id").alias("seq"), step.alias("step")))
+
+
+@register(
+    """WITH c AS (SELECT event_type AS topic, CASE WHEN value <= 1 THEN 1.0 WHEN value <= 10 THEN 10.0 WHEN value <= 50 THEN 50.0 END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL)
+    SELECT topic, CAST(bucket AS DOUBLE) AS bucket, n, CAST(sum(n) OVER (PARTITION BY topic ORDER BY bucket NULLS LAST) AS BIGINT) AS upto FROM c"""
+)
+def value_histogram(spark, sf):
+    return client.histogram(table(spark, sf, "events").withColumnRenamed("event_type", "topic"), "value", [1, 10, 50], ["topic"])
+
+
+@register(f"WITH {_IDX} SELECT topic, max(greatest(0, 1706300000000 - window_start * 1000 - vp)) AS oldest_ms FROM idx GROUP BY topic")
+def oldest_cache_age(spark, sf):
+    return client.oldest_cache_age(index(spark, sf).withColumn("observed_ms", F.col("window_start") * 1000 + F.col("vp")), NOW_MS, ["topic"])
+
+
+@register("SELECT event_type AS operation, count(*) AS calls, sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 8 * 0.5 END)::DOUBLE AS units, CAST(sum(1 + event_id % 3) AS BIGINT) AS pages FROM events GROUP BY event_type")
+def capacity_totals(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("operation"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 8 * 0.5).alias("units"), (1 + F.col("event_id") % 3).alias("pages"))
+    return client.capacity_totals(e, ["operation"])
+
+
+@register("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'done' WHEN event_id % 6 IN (1, 2) THEN 'fail' ELSE 'retry' END AS action FROM events")
+def response_routing(spark, sf):
+    status = F.when(F.col("event_id") % 6 < 5, F.get(F.array(*map(F.lit, ("OK", "UNKNOWN_TOPIC", "BAD_REQUEST", "NOT_LEASE_HOLDER", "OVERLOADED"))), (F.col("event_id") % 6).cast("int")))
+    return table(spark, sf, "events").select("event_id", log.response_action(status).alias("action"))
+
+
+@register(
+    f"""WITH {_CUR}{_ISSUES.format(order="snowflake_id, seq_start", name="source").replace("SELECT topic, vp, 'source'", ", iss AS (SELECT topic, vp, 'source'", 1)}),
+    x2 AS (SELECT topic, vp, seq_start - CASE WHEN window_start // 21600 % 6 = 1 THEN 2 ELSE 0 END AS seq_start, seq_end, record_count, snowflake_id + CASE WHEN window_start // 21600 % 8 = 5 THEN 30000000000000 ELSE 0 END AS snowflake_id FROM idx WHERE window_start // 21600 % 5 <> 3),
+    sz AS (SELECT topic, count(DISTINCT snowflake_id) AS segments, count(*) AS batches, CAST(sum(record_count) AS BIGINT) AS records FROM x2 GROUP BY topic),
+    od AS (SELECT topic, bool_and(a = b) AS same_order FROM (SELECT topic, row_number() OVER (PARTITION BY topic, vp ORDER BY snowflake_id, seq_start) AS a, row_number() OVER (PARTITION BY topic, vp ORDER BY seq_start, snowflake_id) AS b FROM x2) GROUP BY topic),
+    ck AS (SELECT topic, vp, CASE WHEN vp = 2 THEN NULL WHEN vp = 3 THEN 1706270400 ELSE min(window_start) END AS w FROM idx GROUP BY topic, vp)
+    SELECT sz.*, (SELECT count(*) FROM iss WHERE iss.topic = sz.topic AND kind = 'gap') AS gaps, (SELECT count(*) FROM iss WHERE iss.topic = sz.topic AND kind = 'overlap') AS overlaps,
+    (SELECT count(*) FROM iss WHERE iss.topic = sz.topic AND kind = 'out_of_order') AS out_of_order, same_order, (SELECT count(*) FROM ck WHERE ck.topic = sz.topic AND (w IS NULL OR w <> 1706270400)) AS lagging FROM sz JOIN od USING (topic)"""
+)
+def inspect_metadata(spark, sf):
+    i = index(spark, sf)
+    low = F.when(F.col("vp") == 2, F.lit(None).cast("long")).when(F.col("vp") == 3, F.lit(1706270400)).otherwise(F.min("window_start"))
+    return inspect.inspect_metadata(damaged(i), cursors(i), i.groupBy("topic", "vp").agg(low.alias("ckpt_window")), 1706270400)
+
+
+# Folds, told in SQL by recursion; and what SQL can't say: tests hold the latter against golden values and invariants
 
 
 @register()
@@ -746,19 +854,23 @@ def siphash_partition(spark, sf):
     return e.groupBy("topic", "vp").agg(F.count(F.lit(1)).alias("records"))
 
 
-@register()
+@register("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS payload_bytes, CASE WHEN text IS NOT NULL THEN TRUE END AS same FROM documents")
 def zstd_round_trip(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
     packed = docs.withColumn("packed", codec.compress(F.col("payload")))
-    return packed.select("doc_id", F.octet_length("packed").alias("packed_bytes"), (codec.decompress(F.col("packed")) == F.col("payload")).alias("same"))
+    back = packed.select("doc_id", "payload", codec.decompress(F.col("packed")).alias("back"))
+    return back.select("doc_id", F.octet_length("back").cast("long").alias("payload_bytes"), (F.col("back") == F.col("payload")).alias("same"))
 
 
-@register()
+@register(
+    f"""WITH {_IDX} SELECT topic, window_start, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes, min(seq_start) AS first_offset FROM idx GROUP BY topic, window_start"""
+)
 def blob_batches(spark, sf):
     """Events encoded as blobs, one for each topic and window, then read back by byte range."""
     blobs = codec.write_blobs(event_records(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("arrival"), "props"), "arrival").withColumn("payload", F.col("props").cast("binary")))
     back = codec.read_ranges(blobs, blobs.select("blob_key", F.posexplode("ranges").alias("idx", "r")).select("blob_key", "idx", "r.*"))
-    return back.groupBy("blob_key").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.min("offset").alias("first_offset"))
+    back = back.join(blobs.select("blob_key", "topic", "window_start"), "blob_key")
+    return back.groupBy("topic", "window_start").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.min("offset").alias("first_offset"))
 
 
 @register()
@@ -780,13 +892,27 @@ def segment_packing(spark, sf):
     return control.pack_segments(index(spark, sf).withColumn("encoded_bytes", F.col("byte_end") - F.col("byte_start")), 64)
 
 
-@register()
+@register(
+    """WITH RECURSIVE e AS (SELECT event_type AS topic, event_id AS idx, CAST(greatest(0, floor(value / 10) - 1) AS INTEGER) AS split_count, event_id % 9 <> 0 AS successful, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+    s AS (SELECT topic, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS idx, 0 AS split_count, TRUE AS successful, CAST(1000 AS BIGINT) AS cur, 0 AS sp, 0 AS cl FROM (SELECT DISTINCT topic FROM e)
+      UNION ALL SELECT topic, n, idx, split_count, successful, nw, CASE WHEN nw <> cur THEN 0 ELSE sp2 END, CASE WHEN nw <> cur THEN 0 ELSE cl2 END FROM (
+        SELECT *, CASE WHEN split_count > 0 AND sp2 >= 3 THEN greatest(50, cur - (greatest(0, cur - least(1000, greatest(50, (cur + split_count) // (split_count + 1)))) + 3) // 4)
+                       WHEN split_count = 0 AND successful AND cl2 >= 3 THEN least(1000, cur + (1000 - cur + 1) // 2) ELSE cur END AS nw FROM (
+          SELECT e.topic, e.n, e.idx, e.split_count, e.successful, s.cur, CASE WHEN e.split_count > 0 THEN s.sp + 1 ELSE 0 END AS sp2, CASE WHEN e.split_count = 0 AND e.successful THEN s.cl + 1 ELSE 0 END AS cl2
+          FROM s JOIN e ON e.topic = s.topic AND e.n = s.n + 1)))
+    SELECT topic, idx, split_count, successful, cur AS delay_ms FROM s WHERE n > 0"""
+)
 def adaptive_delay(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("topic"), F.col("event_id").alias("idx"), F.greatest(F.lit(0), F.floor(F.col("value") / 10) - 1).cast("int").alias("split_count"), (F.col("event_id") % 9 != 0).alias("successful"))
     return control.adaptive_delay(e, 50, 1000)
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {_REC}, e AS (SELECT topic, vp, arrival AS idx, arrival % 100 * 150 AS used, arrival % 400 = 0 AS foreground, row_number() OVER (PARTITION BY topic, vp ORDER BY arrival) AS n FROM rec),
+    s AS (SELECT topic, vp, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS used, FALSE AS foreground, CAST(10000 AS BIGINT) AS size FROM (SELECT DISTINCT topic, vp FROM e)
+      UNION ALL SELECT e.topic, e.vp, e.n, e.idx, e.used, e.foreground, CASE WHEN e.foreground OR e.used * 4 >= s.size * 3 THEN least(4294967295, s.size * 2) ELSE s.size END FROM s JOIN e ON e.topic = s.topic AND e.vp = s.vp AND e.n = s.n + 1)
+    SELECT topic, vp, idx, used, foreground, size FROM s WHERE n > 0"""
+)
 def reservation_growth(spark, sf):
     e = event_arrivals(spark, sf).select("topic", "vp", F.col("arrival").alias("idx"), (F.col("arrival") % 100 * 150).alias("used"), (F.col("arrival") % 400 == 0).alias("foreground"))
     return control.reservation_sizes(e, 10_000)
