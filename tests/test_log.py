@@ -330,7 +330,9 @@ def test_store(spark, tmp_path):
 
     rows = [("t", v, w, w // 300 * 4 + k, k, f"{v}-{w}-{k}".encode()) for v in (0, 1) for w in (0, 300, 600) for k in range(4)]
     records = spark.createDataFrame(rows, "topic string, vp int, window_start long, offset long, event_ts_ms long, payload binary")
-    store.publish(records, str(tmp_path))
+    store.publish(records.where("window_start < 600 or vp = 0"), str(tmp_path), 1)
+    store.publish(records.where("window_start = 600 and vp = 1"), str(tmp_path), 2)  # another write to the same window
+    store.publish(records.where("window_start = 600 and vp = 1"), str(tmp_path), 2)  # and its retry
     found = store.load_index(spark, str(tmp_path), "t", [300, 600], 1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(topic" in plan and "GreaterThanOrEqual(snowflake_id,1)" in plan
@@ -338,6 +340,12 @@ def test_store(spark, tmp_path):
     back = store.read(spark, str(tmp_path), found)
     assert sorted((r.vp, r.offset, bytes(r.payload)) for r in back.collect()) == sorted((r[1], r[3], r[5]) for r in rows if r[2])
     assert scan.lost(found.withColumn("blob_key", F.concat("blob_key", F.lit("x"))), store.load_blobs(spark, str(tmp_path))).count() == 4
+    whole = spark.read.parquet(str(tmp_path / "index"))
+    assert whole.count() == 6 and whole.where("window_start = 600").select("snowflake_id", "blob_key").distinct().count() == 2
+    store.publish(records, str(tmp_path / "small"), 3, most_bytes=100)  # a partition's four records have more than half of that
+    assert store.load_blobs(spark, str(tmp_path / "small")).select("blob_key").distinct().count() == 6
+    everything = store.load_index(spark, str(tmp_path / "small"), "t", [0, 300, 600])
+    assert store.read(spark, str(tmp_path / "small"), everything).count() == len(rows)
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.bin").write_bytes(b"12345")
     (tmp_path / "raw" / "b.bin").write_bytes(b"123456")

@@ -65,21 +65,30 @@ def decode_batch(data: bytes, vp: int, count: int) -> tuple[int, list[tuple[int,
 _RANGE = "struct<vp:int,seq_start:bigint,seq_end:bigint,byte_start:bigint,byte_end:bigint>"
 
 
-def write_blobs(records: DataFrame, prefix: str = "") -> DataFrame:
-    """blob_key, content, ranges: one blob for each topic and window. records: topic, vp, window_start, offset, event_ts_ms, payload."""
+def write_blobs(records: DataFrame, prefix: str = "", write: int | None = None) -> DataFrame:
+    """blob_key, content, ranges: one blob for each topic, window and object. records: topic, vp, window_start, offset, event_ts_ms, payload.
+
+    object (optional column, 0 to 255): which of the window's objects a record goes to; one blob is
+    one task's work, so callers deal windows out to objects of bounded size. write: a number that
+    tells this write's ids and keys from other writes' to the same window; without one, ids differ
+    by the topic's length only, and windows must be written once.
+    """
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        content, ranges = b"", []
+        parts, at, ranges = [], 0, []
         for vp, part in rows.sort_values("offset").groupby("vp", sort=True):
             offsets = part["offset"]
             data = encode_batch(int(vp), int(offsets.iloc[0]), [(int(t), bytes(p)) for t, p in zip(part["event_ts_ms"], part["payload"], strict=True)])
-            ranges.append({"vp": int(vp), "seq_start": int(offsets.iloc[0]), "seq_end": int(offsets.iloc[-1]), "byte_start": len(content), "byte_end": len(content) + len(data)})
-            content += data
-        return pd.DataFrame({"topic": [rows["topic"].iloc[0]], "window_start": [rows["window_start"].iloc[0]], "content": [content], "ranges": [ranges]})
-
-    slim = records.select("topic", "vp", "window_start", "offset", "event_ts_ms", "payload")
-    out = slim.groupBy("topic", "window_start").applyInPandas(build, f"topic string, window_start long, content binary, ranges array<{_RANGE}>")
-    key = blob_key(F.col("window_start"), id_floor(F.col("window_start") * 1000) + F.length("topic"), prefix=prefix)
+            ranges.append({"vp": int(vp), "seq_start": int(offsets.iloc[0]), "seq_end": int(offsets.iloc[-1]), "byte_start": at, "byte_end": at + len(data)})
+            parts.append(data)
+            at += len(data)
+        return pd.DataFrame({"topic": [rows["topic"].iloc[0]], "window_start": [rows["window_start"].iloc[0]], "object": [rows["object"].iloc[0]], "content": [b"".join(parts)], "ranges": [ranges]})
+
+    number = F.col("object").cast("int") if "object" in records.columns else F.lit(0)
+    slim = records.select("topic", "vp", "window_start", "offset", "event_ts_ms", "payload", number.alias("object"))
+    out = slim.groupBy("topic", "window_start", "object").applyInPandas(build, f"topic string, window_start long, object int, content binary, ranges array<{_RANGE}>")
+    low = F.length("topic") if write is None else F.lit(write % 2**16 * 256) + F.col("object")
+    key = blob_key(F.col("window_start"), id_floor(F.col("window_start") * 1000) + low, prefix=prefix)
     return out.withColumn("blob_key", F.concat_ws("/", "topic", key)).select("blob_key", "topic", "window_start", "content", "ranges")
 
 

@@ -873,7 +873,13 @@ def blob_batches(spark, sf):
     return back.groupBy("topic", "window_start").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.min("offset").alias("first_offset"))
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {_REC}, e AS (SELECT *, row_number() OVER (PARTITION BY topic, vp, window_start ORDER BY "offset") AS n FROM rec),
+    s AS (SELECT topic, vp, window_start, n, payload_bytes, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS c, payload_bytes AS z FROM e WHERE n = 1
+      UNION ALL SELECT e.topic, e.vp, e.window_start, e.n, e.payload_bytes, s.batch + CASE WHEN s.c >= 3 OR s.z >= 40 THEN 1 ELSE 0 END, CASE WHEN s.c >= 3 OR s.z >= 40 THEN 1 ELSE s.c + 1 END,
+        CASE WHEN s.c >= 3 OR s.z >= 40 THEN e.payload_bytes ELSE s.z + e.payload_bytes END FROM s JOIN e ON e.topic = s.topic AND e.vp = s.vp AND e.window_start = s.window_start AND e.n = s.n + 1)
+    SELECT topic, vp, window_start, batch, count(*) AS records, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM s GROUP BY topic, vp, window_start, batch"""
+)
 def micro_batches(spark, sf):
     out = log.micro_batches(event_records(spark, sf), 3, 40)
     return out.groupBy("topic", "vp", "window_start", "batch").agg(F.count(F.lit(1)).alias("records"), F.sum("payload_bytes").cast("long").alias("payload_bytes"))
@@ -918,7 +924,20 @@ def reservation_growth(spark, sf):
     return control.reservation_sizes(e, 10_000)
 
 
-@register()
+@register(
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY topic, vp ORDER BY ts_ms, seq) AS n, CASE WHEN cmd = 'reserve' THEN 100 END AS size, 'w' || CAST(seq % 2 AS VARCHAR) AS holder, 's' || CAST(seq % 2 AS VARCHAR) AS session FROM (
+        SELECT event_type AS topic, CAST(user_id % 16 AS INTEGER) AS vp, epoch_us(ts) // 1000 AS ts_ms, CAST(event_id % 1000 AS INTEGER) AS seq, (['acquire', 'reserve', 'heartbeat', 'acquire', 'release'])[event_id % 5 + 1] AS cmd FROM events)),
+    s AS (SELECT topic, vp, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts_ms, 0 AS seq, '' AS cmd, '' AS st, CAST('' AS VARCHAR) AS h, CAST('' AS VARCHAR) AS se, CAST(0 AS BIGINT) AS ep, CAST(0 AS BIGINT) AS ex, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS m FROM (SELECT DISTINCT topic, vp FROM e)
+      UNION ALL SELECT topic, vp, n, ts_ms, seq, cmd, st, CASE WHEN st = 'Ok' AND cmd = 'acquire' THEN holder ELSE h END, CASE WHEN st = 'Ok' AND cmd = 'acquire' THEN session ELSE se END,
+        CASE WHEN st = 'Ok' AND cmd = 'acquire' AND (ep = 0 OR ex <= ts_ms OR se <> session) THEN ep + 1 ELSE ep END,
+        CASE WHEN st = 'Ok' AND cmd IN ('acquire', 'heartbeat') THEN ts_ms + 3600000 WHEN st = 'Ok' AND cmd = 'release' THEN ts_ms ELSE ex END,
+        CASE WHEN st = 'Ok' AND cmd = 'reserve' THEN coalesce(m + 1, 0) END, CASE WHEN st = 'Ok' AND cmd = 'reserve' THEN coalesce(m + 1, 0) + 99 ELSE m END
+      FROM (SELECT e.topic, e.vp, e.n, e.ts_ms, e.seq, e.cmd, e.holder, e.session, s.h, s.se, s.ep, s.ex, s.m,
+              CASE WHEN e.cmd = 'acquire' THEN CASE WHEN s.ep > 0 AND s.ex > e.ts_ms AND (s.h <> e.holder OR s.se <> e.session) THEN 'HeldByOther' ELSE 'Ok' END
+                   WHEN s.ep = 0 OR s.ex <= e.ts_ms THEN 'Expired' WHEN s.h <> e.holder OR s.se <> e.session THEN 'HeldByOther' ELSE 'Ok' END AS st
+            FROM s JOIN e ON e.topic = s.topic AND e.vp = s.vp AND e.n = s.n + 1))
+    SELECT topic, vp, ts_ms, seq, cmd, st AS status, ep AS epoch, ex AS expiry_ms, b AS block_start, b + 99 AS block_end, m AS max_seq FROM s WHERE n > 0"""
+)
 def producer_lease_fold(spark, sf):
     e = table(spark, sf, "events")
     cmd = F.element_at(F.array(*map(F.lit, ("acquire", "reserve", "heartbeat", "acquire", "release"))), (F.col("event_id") % 5 + 1).cast("int"))

@@ -11,17 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
+from tidemark.operators import control
 from tidemark.operators.scan import window_scan
 
 
-def publish(records: DataFrame, folder: str) -> None:
-    """Appends records (topic, vp, window_start, offset, event_ts_ms, payload) as blobs, then their index."""
+def publish(records: DataFrame, folder: str, write: int, most_bytes: int = 64 * 2**20) -> None:
+    """Adds records (topic, vp, window_start, offset, event_ts_ms, payload) as blobs, then their index.
+
+    write numbers this write (modulo 65,536 among writes to one window). Its blobs and index lie in
+    folders of their own, so a retry of the same write replaces what an earlier try left, or does
+    nothing if that had come to its end; other writes to the same windows are not touched. A
+    window's partitions are packed into objects of at most `most_bytes` of payload; a partition
+    that is larger is an object alone.
+    """
     spark = records.sparkSession
-    blobs = codec.write_blobs(records)
-    blobs.write.mode("append").partitionBy("topic", "window_start").parquet(f"{folder}/blobs")
-    keys = records.select("topic", "window_start").distinct()
-    written = load_blobs(spark, folder).join(F.broadcast(keys), ["topic", "window_start"]) if keys.count() <= 100_000 else load_blobs(spark, folder).join(keys, ["topic", "window_start"])
-    index_of(written).repartition("topic", "window_start").sortWithinPartitions("topic", "window_start", "snowflake_id", "vp").write.mode("append").partitionBy("topic", "window_start").parquet(f"{folder}/index")
+    blobs, index = f"{folder}/blobs/write={write}", f"{folder}/index/write={write}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{index}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return
+    sizes = records.groupBy("topic", "window_start", "vp").agg(F.sum(F.octet_length("payload") + 12).cast("long").alias("encoded_bytes"))
+    objects = control.pack_segments(sizes, most_bytes).drop("encoded_bytes")
+    packed = codec.write_blobs(records.join(objects, ["topic", "window_start", "vp"]), write=write)
+    packed.write.mode("overwrite").partitionBy("topic", "window_start").parquet(blobs)
+    rows = index_of(spark.read.parquet(blobs))
+    rows.repartition("topic", "window_start").sortWithinPartitions("topic", "window_start", "snowflake_id", "vp").write.mode("overwrite").partitionBy("topic", "window_start").parquet(index)
 
 
 def index_of(blobs: DataFrame) -> DataFrame:
@@ -32,12 +45,12 @@ def index_of(blobs: DataFrame) -> DataFrame:
 
 
 def load_blobs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/blobs")
+    return spark.read.parquet(f"{folder}/blobs").drop("write")
 
 
 def load_index(spark: SparkSession, folder: str, topic: str, windows: list[int], min_snowflake: int | None = None) -> DataFrame:
     """One pruned scan: folders by topic and window, row groups by id."""
-    return window_scan(spark.read.parquet(f"{folder}/index"), topic, windows, min_snowflake)
+    return window_scan(spark.read.parquet(f"{folder}/index").drop("write"), topic, windows, min_snowflake)
 
 
 def read(spark: SparkSession, folder: str, batches: DataFrame) -> DataFrame:
