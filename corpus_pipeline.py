@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import hilbert, jaccard_join, mixing, toxicity, winnow
 from tidemark.llm.common import cut, table
 
-#: SQL can't express the first two stages: tests/llm compares run() with a brute-force version.
+#: SQL can't express the first two stages and the draws of the mix: tests/llm hold what run() keeps, takes and deals out against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
