@@ -78,3 +78,35 @@ def test_stages(spark, tmp_path):
 
 def test_runs_on_the_small_tables(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_run_equals_brute_force(spark):
+    """What run() keeps on the small tables: scored text by text, sets compared pair by pair, windows looked up one by one; then the mix and the shards by their laws."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_operators import brute_contamination, brute_links, scores, water
+
+    from tidemark.llm import toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect())
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r for r in rows if scores(model, [r[1] or ""])[0] < 0.5]
+    _, root = brute_links([(i, t) for i, t, _ in rows])
+    rows = [r for k, r in enumerate(rows) if root[k] == k]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    told = {d: (n, hit) for d, n, hit, _ in brute_contamination([(i, t) for i, t, _ in rows], items)}
+    rows = [r for r in rows if not (told[r[0]][1] > 0 and 20 * told[r[0]][1] >= told[r[0]][0])]
+    run = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in run} <= {r[0] for r in rows}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    sizes, taken, copies = Counter(), Counter(), Counter(r.doc_id for r in run)
+    for i, _, s in rows:
+        sizes[s] += size[i]
+        taken[s] += size[i] * copies[i]
+    target = water(sizes)
+    assert max(copies.values()) <= 2 and all(abs(taken[s] - target[s]) <= max(size.values()) for s in sizes)
+    shards = Counter(r.shard for r in run)
+    assert max(shards.values()) - min(shards.values()) <= 1
